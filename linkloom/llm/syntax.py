@@ -9,6 +9,11 @@ conflict markers, patch lines, elision marks, and text of another language. The
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
 from ..parse import lexer as L
 
 _PAIR = {")": "(", "]": "[", "}": "{"}
@@ -510,3 +515,37 @@ def _javascript(toks, text: str) -> list[str]:
     if pk == "p" and (prev in _BINARY or prev in (",", ".", "(", "=>")) or (pk == "w" and p2 not in (".", "?.") and prev in ("if", "for", "while", "function", "class", "new", "const", "var", "export", "import", "typeof", "extends", "case", "throw", "else", "do", "try")):
         return ["premature end"]
     return []
+
+
+CHECKED = "path string, repo string, language string, fault string"
+
+
+def checked(files: DataFrame) -> DataFrame:
+    """(path, repo, language, fault) of each row: the first fault found, null for a valid file.
+
+    Rows whose path is null or has no suffix of the three languages are left out; null and empty contents are valid.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, repo, content in part[["path", "repo", "content"]].itertuples(index=False, name=None):
+                language = L.language_of(path)
+                if language is not None:
+                    found = faults(language, L.decode(content))
+                    rows.append((path, repo, language, found[0] if found else None))
+            yield pd.DataFrame(rows, columns=["path", "repo", "language", "fault"])
+
+    return files.select("path", "repo", "content").mapInPandas(run, CHECKED)
+
+
+def unparsable(files: DataFrame) -> DataFrame:
+    """(path) of files that are not valid in the language of their suffix; repeated scans count once."""
+    return checked(files).where("fault is not null").select("path").distinct()
+
+
+def fault_rates(files: DataFrame) -> DataFrame:
+    """(repo, language, files, faulty, share): distinct paths and the share of those that do not parse."""
+    each = checked(files).groupBy("path").agg(F.max("repo").alias("repo"), F.max("language").alias("language"), F.max(F.col("fault").isNotNull()).alias("bad"))
+    counts = each.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if("bad").alias("faulty"))
+    return counts.withColumn("share", F.round(F.col("faulty") / F.col("files"), 6))
