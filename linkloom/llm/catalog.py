@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import docpairs, handwritten, syntax
+from . import docpairs, handwritten, reading, syntax
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,5 +37,16 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(files, excluded)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p5_found, p5_pairs, p6_found, p6_kinds)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_anchor")).select("doc_id", "band")
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, words and mean sentence length per component and band."""
+    found = reading.levels(table(spark, d, "documents"), table(spark, d, "reading_anchor"))
+    named = found.join(table(spark, d, "documents").select("doc_id", "component"), "doc_id")
+    return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p5_found, p5_pairs, p6_found, p6_kinds, p9_found, p9_profile)}
 SQL: dict[str, str] = {}
