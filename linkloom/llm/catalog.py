@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..runtime import table
-from . import docpairs, handwritten, reading, syntax
+from ..runtime import clean_id, table
+from . import docpairs, handwritten, neighbours, reading, syntax
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,14 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     return judged.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), *[F.count_if(k).alias(k) for k in ("generated", "minified", "vendored", "data")])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = neighbours.usable(table(spark, d, "graph_node"))
+    probes = table(spark, d, "knn_probe").select("probe_no", clean_id("node_id").alias("id")).where("id is not null")
+    queries = vectors.join(probes.select("id").distinct(), "id", "left_semi")
+    found = neighbours.nearest(queries, vectors)
+    return probes.join(found, "id").select("probe_no", F.col("neighbour").alias("neighbor_id")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "source_file")
     excluded = handwritten.not_handwritten(files, table(spark, d, "library_symbol"))
@@ -48,5 +56,14 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p5_found, p5_pairs, p6_found, p6_kinds, p9_found, p9_profile)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p5_found, p5_pairs, p6_found, p6_kinds, p9_found, p9_profile)}
+_SPACE = "' ' || chr(9) || chr(10) || chr(13)"
+SQL: dict[str, str] = {
+    # exact search: the forest may miss what this finds, at these sizes it looks into nearly every leaf
+    "p3_found": f"""WITH v AS (SELECT trim(id, {_SPACE}) AS id, any_value(embedding::DOUBLE[]) AS x FROM graph_node WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0 GROUP BY ALL),
+p AS (SELECT DISTINCT probe_no, trim(node_id, {_SPACE}) AS id FROM knn_probe),
+s AS (SELECT p.probe_no, n.id, row_number() OVER (PARTITION BY probe_no ORDER BY list_cosine_similarity(q.x, n.x) DESC, n.id) AS k
+  FROM p JOIN v q ON q.id = p.id JOIN v n ON n.id <> p.id)
+SELECT probe_no, id AS neighbor_id FROM s WHERE k <= 10""",
+}
