@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import clean_id, table
-from . import docpairs, handwritten, neighbours, reading, syntax
+from . import docpairs, handwritten, mixing, neighbours, packing, reading, syntax
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,23 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(files, excluded)
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    capacities = table(spark, d, "pack_capacity")
+    return packing.fill_report(packing.pack(table(spark, d, "documents"), capacities), capacities)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_anchor")).select("doc_id", "band")
 
@@ -56,7 +73,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p5_found, p5_pairs, p6_found, p6_kinds, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_profile)}
 _SPACE = "' ' || chr(9) || chr(10) || chr(13)"
 SQL: dict[str, str] = {
     # exact search: the forest may miss what this finds, at these sizes it looks into nearly every leaf
