@@ -168,7 +168,9 @@ PACKED = "capacity_name string, container long, doc_id long, piece int, tokens i
 
 def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
     """(capacity_name, capacity, doc_id, piece, tokens): each text once per capacity, one longer than it as full pieces and a rest."""
-    crossed = sized.where("tokens > 0").join(F.broadcast(capacities.where("tokens > 0").select("capacity_name", F.col("tokens").alias("capacity"))))
+    settings = [F.struct(F.lit(r["capacity_name"]).alias("capacity_name"), F.lit(r["tokens"]).cast("int").alias("capacity")) for r in capacities.where("tokens > 0").distinct().collect()]
+    each = F.explode(F.array(*settings) if settings else F.array().cast("array<struct<capacity_name:string,capacity:int>>"))
+    crossed = sized.where("tokens > 0").select("doc_id", "tokens", each.alias("c")).select("doc_id", "tokens", "c.*")
     whole = F.sequence(F.lit(0).cast("long"), F.expr("(tokens - 1) div capacity"))
     cutting = crossed.select("capacity_name", "capacity", "doc_id", "tokens", F.explode(whole).alias("piece"))
     return cutting.select("capacity_name", "capacity", "doc_id", F.col("piece").cast("int").alias("piece"), F.expr("least(capacity, tokens - piece * capacity)").cast("int").alias("tokens"))
@@ -182,7 +184,7 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str | None = No
     items of their own. Containers are numbered apart for each capacity.
 
     Each window is a hash class of items that fills about ``CONTAINERS`` containers, so no task holds more than a window.
-    Only the table of capacities, some rows of settings, is broadcast.
+    The table of capacities, some rows of settings, becomes a literal.
     """
     sized = cut(with_tokens(documents.select("doc_id", "text"), path=tokenizer))
     every = pieces(sized, capacities)
