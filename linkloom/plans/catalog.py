@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records
+from . import records, tracing
 
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+QUERIES = records.QUERIES | tracing.QUERIES
+SQL = records.SQL | tracing.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p4_found"](spark, sf_dir)
+    return QUERIES["trace_result"](spark, sf_dir)
