@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, tracing
+from . import build, records, tracing
 
-QUERIES = records.QUERIES | tracing.QUERIES
+QUERIES = records.QUERIES | tracing.QUERIES | build.QUERIES
 SQL = records.SQL | tracing.SQL
 
 
