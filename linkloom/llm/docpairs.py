@@ -14,188 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..parse import lexer as L
+from ..parse.source import comment_above, comment_lines, functions
 from ..runtime import cut
 from . import syntax
 
-_NOT_NAMES = frozenset(
-    "if for while switch catch return new else do try synchronized throw sizeof alignof decltype typeof delete case function await yield assert super this static_assert defined with in of instanceof "
-    "int long short char float double bool boolean void auto const noexcept requires alignas and or not operator template".split()
-)
-#: A name, its parameter list up to one level of nesting, what may stand before the body, and the opening brace.
-_NEST = r"\((?:[^(){};]|\((?:[^(){};]|\([^(){};]*\))*\))*\)"
-_SIGNATURE = {
-    "java": re.compile(r"(?P<name>[^\W\d][\w$]*)\s*(?P<params>" + _NEST + r")\s*(?:throws\s+[\w$.,\s<>@]+)?\s*(?P<open>\{)"),
-    "cpp": re.compile(
-        r"(?P<name>~?[^\W\d]\w*)\s*(?P<params>" + _NEST + r")\s*(?:(?:const|volatile|override|final|mutable|&&?|try|noexcept(?:\s*\([^()]*\))?|throw\s*\([^()]*\)|->\s*[\w:<>,*&\s]+|requires\s[^{;]*|[A-Z_]{3,})\s*)*(?::\s*(?!:)[^{};]*)?(?P<open>\{)"
-    ),
-    "javascript": re.compile(
-        r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*" + _NEST + r"\s*(?P<open>\{)"
-        r"|(?P<name2>#?[\w$]+)\s*[=:]\s*(?:async\s*)?(?:function\s*\*?\s*(?:[\w$]+\s*)?" + _NEST + r"|(?:" + _NEST + r"|[\w$]+)\s*=>)\s*(?P<open2>\{)"
-        r"|(?P<name3>#?[\w$]+)\s*(?P<params3>" + _NEST + r")\s*(?P<open3>\{)"
-    ),
-}
-
-
-def _blanked(text: str, toks: list) -> str:
-    """The text with comments and literals blanked; line ends and positions stay."""
-    out, at = [], 0
-    for k, a, b in toks:
-        if k in "cstux":
-            out.append(text[at:a])
-            piece = text[a:b]
-            if k == "t" and piece.endswith("${"):
-                out.append(re.sub(r"[^\r\n]", " ", piece[:-1]) + "{" if piece[0] == "`" else "}" + re.sub(r"[^\r\n]", " ", piece[1:-1]) + "{")
-            elif k == "t" and piece[0] == "}":
-                out.append("}" + re.sub(r"[^\r\n]", " ", piece[1:]))
-            else:
-                out.append(re.sub(r"[^\r\n]", " ", piece))
-            at = b
-    out.append(text[at:])
-    return "".join(out)
-
-
-_TYPE = re.compile(r"\b(?:class|struct|interface|enum|record|union|namespace)\b(?!.*[=;])", re.S)
-
-
-def _frames(code: str) -> dict[int, tuple[str, str]]:
-    """Of each opening brace: (what it opens, the name of the type), by the text between it and the statement before."""
-    found, stack = {}, []
-    start = 0
-    for m in re.finditer(r"[{};]", code):
-        at = m.start()
-        if m.group() == "{":
-            head = code[start:at]
-            t = _TYPE.search(head)
-            kind = "other"
-            name = ""
-            if re.search(r"\bnamespace\b[\w:\s]*$", head) or re.search(r'\bextern\s*$', head):
-                kind = "space"
-            elif t and not re.search(r"\)\s*(?:const|override|noexcept|final|\s)*$", head.split("class")[0] if "class" in head else head):
-                kind = "type"
-                n = re.search(r"\b(?:class|struct|interface|enum|record|union)\s+(?:class\s+|struct\s+)?(?:\[\[[^\]]*\]\]\s*)?([\w$]+)", head)
-                name = n.group(1) if n else ""
-            elif t and re.search(r"\b(?:class|struct|interface|enum|record)\b", head) and not re.search(r"\)\s*$", head):
-                kind = "type"
-            stack.append((kind, name))
-            found[at] = (kind, name, tuple(k for k, _ in stack[:-1]), tuple(n for _, n in stack[:-1]))
-        elif m.group() == "}" and stack:
-            stack.pop()
-        start = at + 1
-    return found
-
-
-def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
-    """(name, offset of the name, offset where the definition starts, opening brace, end of the body) of functions with a body."""
-    plain = L.preprocess(text)[0] if language == "cpp" else text
-    toks = L.tokens(language, plain)
-    code = _blanked(plain, toks)
-    frames = _frames(code)
-    close, stack = {}, []
-    for m in re.finditer(r"[{}]", code):
-        if m.group() == "{":
-            stack.append(m.start())
-        elif stack:
-            close[stack.pop()] = m.start()
-    out = []
-    pos, rx = 0, _SIGNATURE[language]
-    while m := rx.search(code, pos):
-        which = "" if m.groupdict().get("name") else "2" if language == "javascript" and m.group("name2") else "3"
-        name, at, brace = m.group("name" + which), m.start("name" + which), m.start("open" + which)
-        pos = m.start("open" + which) if name not in _NOT_NAMES else m.end("name" + which)
-        if name in _NOT_NAMES or brace not in close:
-            continue
-        frame = frames.get(brace)
-        around, names = frame[2], frame[3]
-        inside = around[-1] if around else "space"
-        before = code[max(0, at - 300) : at]
-        start = max(code.rfind(c, 0, at) for c in ";{}") + 1
-        head = code[start:at]
-        if language == "java":
-            if inside != "type" or re.search(r"\bnew\s+[\w$.<>\s]*$|[=.]\s*$", before):
-                continue
-            kinds = re.sub(r"@[\w.]+(?:\s*\([^()]*\))?", " ", head).split()
-            if not [k for k in kinds if k not in ("public", "private", "protected")] or name == names[-1]:
-                continue  # a constructor
-        elif language == "cpp":
-            if any(k == "other" for k in around):
-                continue
-            label = re.search(r"(?:^|\s)(?:public|private|protected)\s*:(?!:)\s*", head)
-            if label:
-                start += label.end()
-                head = code[start:at]
-            if name.startswith("~") or re.search(r"[=.,(]\s*$|->\s*$|\boperator\W*$|\breturn\s*$", before):
-                continue
-            owner = re.search(r"([\w]+)\s*(?:<[^<>]*>)?\s*::\s*$", before)
-            if (owner and owner.group(1) == name) or (not owner and names and names[-1] == name):
-                continue
-            if not owner and not re.search(r"[\w>*&\]]\s*$", re.sub(r"\[\[.*?\]\]", " ", head, flags=re.S)):
-                continue  # no return type: a macro
-        else:
-            if any(k == "other" for k in around) and not (which == "3" and around[-1] == "type"):
-                method = which in ("2", "3") and _in_object(code, brace, around)
-                if not method:
-                    continue
-            if which == "3" and (inside != "type" and not _in_object(code, brace, around)):
-                continue
-            if name == "constructor" or re.search(r"\bnew\s*$|\.\s*$", before) and which == "3":
-                continue
-        # the first line of the definition is that of its first token that is no comment
-        first = start + len(code[start:at]) - len(code[start:at].lstrip())
-        out.append((name, at, min(first, at), brace, close[brace] + 1))
-    return out
-
-
-def _in_object(code: str, brace: int, around: tuple) -> bool:
-    """Whether the innermost brace around belongs to an object literal at the top level."""
-    depth = 0
-    for at in range(brace - 1, -1, -1):
-        c = code[at]
-        if c == "}":
-            depth += 1
-        elif c == "{":
-            if depth == 0:
-                return len([k for k in around if k == "other"]) == 1 and bool(re.search(r"[=(:,]\s*$|\breturn\s*$|\bdefault\s*$", code[max(0, at - 40) : at])) and not re.search(r"\)\s*$|=>\s*$", code[max(0, at - 40) : at])
-            depth -= 1
-    return False
-
-
-def _lines(comment: str) -> list[str]:
-    """The comment's lines without its marks."""
-    body = []
-    for x in comment.replace("\r", "").split("\n"):
-        x = re.sub(r"\s*\*+/\s*$", "", x)
-        x = re.sub(r"^\s*(?:/\*[*!]*<?|//[/!]*<?|\*+)\s?", "", x)
-        body.append(x.strip())
-    return body
-
-
-def comment_above(text: str, toks: list, first: int, starts: list[int]) -> str:
-    """The comment that ends on the line above the line of ``first``; touching line comments are one comment."""
-    line = bisect_right(starts, first)  # 1-based
-    if line < 2:
-        return ""
-    comments = [(a, b) for k, a, b in toks if k == "c" and a < first]
-    out: list[str] = []
-    want = line - 1
-    for a, b in reversed(comments):
-        end = bisect_right(starts, max(a, b - 1))
-        if end < want:
-            break
-        if end > want:
-            continue
-        begin = bisect_right(starts, a)
-        own = not text[starts[begin - 1] : a].strip()
-        if out and (not own or text[a : a + 2] != "//" or not out[0].lstrip().startswith("//")):
-            break
-        if not own:
-            break  # it ends a line of code and belongs to that
-        out.insert(0, text[a:b])
-        want = begin - 1
-        if text[a : a + 2] != "//":
-            break
-    return "\n".join(out)
-
-
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿß]+|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
 _TAG = re.compile(r"^(?:[@\\](\w+)|:(\w+)[^:]*:)\s*(.*)$")
@@ -228,7 +50,7 @@ def _stem(word: str) -> str:
 
 def prose(comment: str) -> list[str]:
     """Lines of prose of a comment: no marks, separators, disabled code, licence lines, nor tags without words of their own."""
-    rows = [x for x in _lines(comment) if x and re.search(r"\w", x)]
+    rows = [x for x in comment_lines(comment) if x and re.search(r"\w", x)]
     code = [bool(_CODE_END.search(x) and _CODE_SIGN.search(x)) for x in rows]
     if rows and sum(code) * 2 >= len(rows):
         return []
