@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..streaming import incremental
 from . import build, records, tracing
 
-QUERIES = records.QUERIES | tracing.QUERIES | build.QUERIES
-SQL = records.SQL | tracing.SQL
+QUERIES = records.QUERIES | tracing.QUERIES | build.QUERIES | incremental.QUERIES
+SQL = records.SQL | tracing.SQL | incremental.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
