@@ -37,6 +37,8 @@ _S_VALUE = frozenset("this super null true false".split())
 #: Contextual words that can be plain names as well.
 _S_SOFT = frozenset("let of async from as get set static await yield".split())
 _BINARY = frozenset("= += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??= == != === !== <= >= <=> && || ?? << >>> ** + - * / % & | ^ ? =>".split())
+#: Operators after which a name begins an expression, so that no second name can follow it.
+_STRICT = frozenset("+ - / % == != <= >= && || = += -= *= /= %= ! ~".split())
 _AFTER_BINARY_BAD = frozenset(") ] ; } ,".split())
 _NEVER_FIRST = frozenset("= += -= *= /= %= &= |= ^= <<= >>= >>>= == != === !== <= >= && || ?? << >>> % | ^ ? => > ) ] , . ->".split())
 
@@ -83,6 +85,7 @@ def _java(toks, text: str) -> list[str]:
     header: set[str] = set()  # keywords of the statement so far
     annotated = False  # prev ends an annotation's name
     closed = ""  # what the last closed parenthesis was
+    tried = False  # the block of a try has just ended
     start = True  # at the start of a statement
     for i in range(n):
         k, x, at = toks[i]
@@ -108,6 +111,8 @@ def _java(toks, text: str) -> list[str]:
                     return ["three names"]
                 if p2 == "::":
                     return ["name after reference"]
+                if p2 in _STRICT or p2 == "<":
+                    return ["two names in expression"]
         elif prev == ")":
             if k in ("n", "s") and closed not in ("group", "control"):
                 return ["literal after call"]
@@ -120,7 +125,7 @@ def _java(toks, text: str) -> list[str]:
         elif prev == "]":
             if k in ("n", "s") or (key and x not in ("instanceof", "throws", "default", "implements", "permits")):
                 return ["operand after bracket"]
-        elif prev in _BINARY and not (prev in ("+", "-") and False):
+        elif prev in _BINARY:
             if prev == "?" and p2 in ("<", ","):
                 if not (x in (">", ",", ">>", "&", ">>>") or x in ("extends", "super")):
                     return ["wildcard"]
@@ -164,6 +169,9 @@ def _java(toks, text: str) -> list[str]:
                 return ["no block"]
         if x == "else" and prev not in (";", "}") or x in ("finally", "catch") and word and prev != "}":
             return ["stray " + x]
+        if tried and x not in ("catch", "finally"):
+            return ["try alone"]
+        tried = False
         annotated_next = False
         if k == "p":
             if x in "([{":
@@ -186,8 +194,10 @@ def _java(toks, text: str) -> list[str]:
                     closed = top[1]
                     if top[1] == "annotation":
                         annotated_next = True
-                elif x == "}" and top[1] in ("block", "class") and prev not in (";", "{", "}") and not (top[2] == "->" and False):
+                elif x == "}" and top[1] in ("block", "class") and prev not in (";", "{", "}"):
                     return ["no end of statement"]
+                if x == "}":
+                    tried = top[2] == "try"
             elif x == ";" and stack and (stack[-1][0] == "[" or (stack[-1][0] == "(" and stack[-1][2] not in ("for", "try"))):
                 return ["unbalanced ("]
             elif x == "@":
@@ -196,7 +206,7 @@ def _java(toks, text: str) -> list[str]:
         elif word:
             if prev == "@" or (prev == "." and annotated_before):
                 annotated_next = x != "interface"
-            if stack and stack[-1][1] == "class" and start and x in _STATEMENT and x != "default":
+            if stack and stack[-1][1] == "class" and start and (x in _STATEMENT or x in ("this", "super") or (name and _acts(toks, i))):
                 return ["statement in class"]
         if x == "." and annotated:
             annotated_before = True
@@ -212,20 +222,42 @@ def _java(toks, text: str) -> list[str]:
             header.add(x)
         start = new_start
         p2, p2k, prev, pk = prev, pk, x, k
-    if stack:
+    if stack or tried:
         return ["premature end"]
     if prev not in (";", "}"):
         return ["premature end"]
     return bad
 
 
+def _acts(toks, i: int) -> bool:
+    """Whether the statement that begins with the name at ``i`` assigns or calls rather than declares."""
+    n = len(toks)
+    after = toks[i + 1][1] if i + 1 < n else ""
+    if after in ("=", "+=", "-=", "*=", "/=", "++", "--"):
+        return True
+    while after == "." and i + 3 < n and toks[i + 2][0] == "w":
+        i += 2
+        after = toks[i + 1][1]
+        if after == "(":
+            return True
+    if after != "(":
+        return False
+    depth = 0
+    for j in range(i + 1, n):
+        if toks[j][0] == "p":
+            depth += (toks[j][1] == "(") - (toks[j][1] == ")")
+            if depth == 0:
+                return j + 1 < n and toks[j + 1][1] in (";", ".", "=")
+    return False
+
+
 def _cpp(toks, text: str) -> list[str]:
     stack: list[list] = []
     n = len(toks)
     prev, pk, p2, p2k = "", "", "", ""
     header: set[str] = set()
     closed, closed_brace = "", ""
-    start = True
+    start, tried = True, False
     for i in range(n):
         k, x, at = toks[i]
         word = k == "w"
@@ -234,7 +266,7 @@ def _cpp(toks, text: str) -> list[str]:
         if _marker(text, x, at):
             return ["merge conflict"]
         if pk == "n":
-            if k in ("n", "s") or (word and x not in ("and", "or", "xor", "not_eq", "if")) or x in ("(", "{", "["):
+            if k in ("n", "s") or (word and x not in ("and", "or", "xor", "not_eq")) or x in ("(", "{", "["):
                 return ["operand after literal"]
         elif pk == "s":
             if k == "n" or (word and not (p2 in ("extern", "operator") or x.isupper() or x in ("and", "or") or x[:3] in ("PRI", "SCN"))):
@@ -244,6 +276,8 @@ def _cpp(toks, text: str) -> list[str]:
                 return ["literal after operand"]
             if key and not prev.isupper() and (x in _STATEMENT or x in ("public", "private", "protected", "namespace", "using", "typedef", "template", "struct", "class", "enum", "int", "long", "short", "char", "float", "double", "bool", "void", "auto", "static", "inline", "virtual", "new", "delete") or x in _C_VALUE) and not (p2 == "[[") and prev not in ("export", "module", "and", "or", "not"):
                 return ["statement after operand"]
+            if name and (p2 in _STRICT or (p2 == "<" and i + 1 < n and toks[i + 1][1] in ("++", "--"))) and not prev.isupper() and not x.isupper() and not {prev, x} & {"and", "or", "not", "xor", "final", "override"}:
+                return ["two names in expression"]
             if name and p2k == "w" and p2 not in _C_KEY and not (p2.isupper() and not prev.isupper()) and not x.isupper() and not {p2, prev, x} & {"and", "or", "not", "final", "override", "export", "import", "module", "concept", "noexcept"}:
                 return ["three names"]
         elif prev == ")":
@@ -273,7 +307,7 @@ def _cpp(toks, text: str) -> list[str]:
                     return ["declaration in expression"]
                 if prev == "=" and x in _BINARY and x not in ("+", "-", "*", "&", "&&"):
                     return ["operator without operand"]
-            elif x in _AFTER_BINARY_BAD and not (x == "]" and False):
+            elif x in _AFTER_BINARY_BAD:
                 return ["operator without operand"]
             elif x in _BINARY and x not in ("+", "-", "*", "&", "&&"):
                 return ["operator without operand"]
@@ -300,7 +334,7 @@ def _cpp(toks, text: str) -> list[str]:
             if (x == ";" and not (prev == "(" and p2 == "for")) or x == "," or (x in _BINARY and x not in ("+", "-", "*", "&", "=", "&&", "^") and not (prev == "(" and i + 1 < n and toks[i + 1][1] in (")", "..."))) or (x == ")" and prev == ","):
                 return ["empty item"]
         elif prev == "...":
-            if k in ("n",) or (x == "(" and False) or (x == "]" and p2 not in ("this",) and p2k != "w" and p2 not in (",", "[")):
+            if k in ("n",) or (x == "]" and p2 not in ("this",) and p2k != "w" and p2 not in (",", "[")):
                 return ["elision"]
             if x == "(" and p2 in (";", "{", "}"):
                 return ["elision"]
@@ -312,6 +346,11 @@ def _cpp(toks, text: str) -> list[str]:
                 return ["foreign word"]
         if x == "else" and prev not in (";", "}") or x == "catch" and word and prev != "}":
             return ["stray " + x]
+        if tried and x != "catch":
+            return ["try alone"]
+        tried = False
+        if start and (not stack or stack[-1][1] in ("space", "type")) and (key and x in _STATEMENT or name and i + 1 < n and toks[i + 1][1] in (".", "->", "=", "+=", "-=", "++", "--")):
+            return ["statement outside a function"]
         if k == "p":
             if x in "([{":
                 if x == "(":
@@ -325,8 +364,10 @@ def _cpp(toks, text: str) -> list[str]:
                         what = "type"
                     elif "enum" in header and "(" not in header:
                         what = "enum"
-                    elif prev in ("=", ",", "(", "return", "[", ">", "]", ":", "?") or (pk == "w" and prev not in _C_KEY and not header & {"namespace", "try", "extern"} and not (prev in ("override", "final", "noexcept")) and "ctor" not in header and ")" not in header) or (inside == "list" and prev == "{"):
+                    elif prev in ("=", ",", "(", "return", "[", ">", "]", ":", "?") or (pk == "w" and prev not in _C_KEY and not header & {"namespace", "try", "extern"} and prev not in ("override", "final", "noexcept") and ("ctor" in header or ")" not in header)) or (inside == "list" and prev == "{"):
                         what = "list"
+                    elif "namespace" in header or ("extern" in header and pk == "s"):
+                        what = "space"
                     else:
                         what = "block"
                     stack.append(["{", what, prev])
@@ -337,8 +378,8 @@ def _cpp(toks, text: str) -> list[str]:
                 if x == ")":
                     closed = top[1]
                 elif x == "}":
-                    closed_brace = top[1]
-                    if top[1] in ("block", "type") and prev not in (";", "{", "}", ":") and not (pk == "w" and prev.isupper()) and not (prev == ")" and toks[i - 1][1] == ")" and _macro(toks, i - 1)):
+                    closed_brace, tried = top[1], top[2] == "try"
+                    if top[1] in ("block", "type", "space") and prev not in (";", "{", "}", ":") and not (pk == "w" and prev.isupper()) and not (prev == ")" and toks[i - 1][1] == ")" and _macro(toks, i - 1)):
                         return ["no end of statement"]
             elif x == ";" and stack and (stack[-1][0] == "[" or (stack[-1][0] == "(" and stack[-1][2] not in ("for", "if", "switch", "constexpr", "while"))):
                 return ["unbalanced ("]
@@ -351,11 +392,13 @@ def _cpp(toks, text: str) -> list[str]:
         else:
             if word and x in ("class", "struct", "union", "enum", "namespace", "try", "extern", "using", "typename", "template") and not (stack and stack[-1][0] == "(") and prev not in ("<", ",", "friend") and not (x == "class" and prev == "enum"):
                 header.add(x)
+            elif x == ":" and (prev == ")" or prev == "noexcept") and not (stack and stack[-1][0] == "("):
+                header.add("ctor")
             elif x in ("(", "=", ")") and not (stack and x == "(" and len(stack) > 1 and stack[-2][0] == "("):
                 header.add(x)
             start = False
         p2, p2k, prev, pk = prev, pk, x, k
-    if stack:
+    if stack or tried:
         return ["premature end"]
     if prev not in (";", "}") and not (prev == ")" and _macro(toks, n - 1)) and not (pk == "w" and prev.isupper()):
         return ["premature end"]
@@ -380,7 +423,7 @@ def _javascript(toks, text: str) -> list[str]:
     stack: list[list] = []
     n = len(toks)
     prev, pk, p2, p2k, pend = "", "", "", "", 0
-    closed, closed_brace = "", ""
+    closed, closed_brace, tried = "", "", False
     header: set[str] = set()
     for i in range(n):
         k, x, at = toks[i]
@@ -399,7 +442,7 @@ def _javascript(toks, text: str) -> list[str]:
         if operand_before and not fresh_line:
             if opens_operand and not (pk == "w" and prev in _S_SOFT and not dotted) and not (x in ("assert", "with") and pk == "s"):
                 return ["operand after operand"]
-            if key and x in _S_STATEMENT and not (prev == "]" and False) and not (stack and stack[-1][1] == "object"):
+            if key and x in _S_STATEMENT and not (stack and stack[-1][1] == "object"):
                 return ["statement after operand"]
             if x == "{" and pk in ("n", "s"):
                 return ["block after literal"]
@@ -411,7 +454,7 @@ def _javascript(toks, text: str) -> list[str]:
             if prev in _BINARY or prev in ("~", "!"):
                 if prev == "*" and (p2 in ("function", "yield", "export", "async", "static", ",", "{", "}", ";") or p2k == "w" and p2 in ("get", "set") or p2 == "import"):
                     pass
-                elif x in _AFTER_BINARY_BAD and not (prev == "?" and False):
+                elif x in _AFTER_BINARY_BAD:
                     return ["operator without operand"]
                 elif x in _BINARY and x not in ("+", "-"):
                     return ["operator without operand"]
@@ -467,6 +510,15 @@ def _javascript(toks, text: str) -> list[str]:
             return ["stray else"]
         if key and x in ("catch", "finally") and prev not in ("}", ".", "?.") and not (stack and stack[-1][1] in ("object", "class")):
             return ["stray " + x]
+        if tried and x not in ("catch", "finally"):
+            return ["try alone"]
+        tried = False
+        if key and x == "return" and not dotted and prev not in (".", "?.") and not (stack and stack[-1][1] in ("object", "class")) and not any(f[0] == "{" and f[-1] is True for f in stack):
+            return ["statement outside a function"]
+        if key and stack and stack[-1][1] == "class" and prev in (";", "{", "}") and i + 3 < n:
+            after = toks[i + 1][1]
+            if x in ("return", "const", "var", "throw", "try") and after not in ("(", "=", ";", "}") or x in ("if", "for", "while", "switch") and after == "(" and toks[i + 2][1] != ")" and toks[i + 2][1] not in ("{", "[", "...") and toks[i + 3][1] not in (",", ")", "="):
+                return ["statement in class"]
         if k == "t":
             if x[0] == "}":
                 if not stack or stack[-1][0] != "${":
@@ -493,7 +545,7 @@ def _javascript(toks, text: str) -> list[str]:
                         what = "object"
                     if what == "block" and i + 2 < n and toks[i + 1][0] in ("s", "n") and toks[i + 2][1] == ":" and prev in ("", ";", "{", "}"):
                         return ["data, not code"]
-                    stack.append(["{", what, prev])
+                    stack.append(["{", what, prev, prev == "=>" or (prev == ")" and closed != "control")])
             elif x in ")]}":
                 if not stack or stack[-1][0] != _PAIR[x]:
                     return ["unbalanced " + x]
@@ -501,7 +553,7 @@ def _javascript(toks, text: str) -> list[str]:
                 if x == ")":
                     closed = top[1]
                 elif x == "}":
-                    closed_brace = top[1]
+                    closed_brace, tried = top[1], top[2] == "try" and top[1] == "block"
             elif x == ";":
                 if stack and (stack[-1][0] in ("[", "${") or (stack[-1][0] == "(" and stack[-1][2] != "for") or stack[-1][1] == "object"):
                     return ["unbalanced ("]
@@ -510,7 +562,7 @@ def _javascript(toks, text: str) -> list[str]:
         elif word and x in ("class", "case", "function") and prev not in (".", "?.") and not (stack and stack[-1][1] == "object" and i + 1 < n and toks[i + 1][1] == ":"):
             header.add(x)
         p2, p2k, prev, pk, pend = prev, pk, x, k, at + len(x)
-    if stack:
+    if stack or tried:
         return ["premature end"]
     if pk == "p" and (prev in _BINARY or prev in (",", ".", "(", "=>")) or (pk == "w" and p2 not in (".", "?.") and prev in ("if", "for", "while", "function", "class", "new", "const", "var", "export", "import", "typeof", "extends", "case", "throw", "else", "do", "try")):
         return ["premature end"]
