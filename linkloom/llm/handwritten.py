@@ -3,8 +3,8 @@
 One pass lexes every file into a small feature row; a second adds up identifier character trigrams to one model per
 language (at most 3 x 32,768 counts, the only thing broadcast); a third scores each file under its language's model.
 
-* *minified*: long lines, little white space and names that the model finds mangled (high cross-entropy per character,
-  measured without the end-of-name certainty that long readable words bring);
+* *minified*: long lines, little white space and names that the model finds mangled (high cross-entropy per character), or
+  that are nearly all a few characters long;
 * *generated*: a generator's notice in the comment above or below the code, or low diversity of line templates;
 * *vendored*: another owner's licence or import notice above the code, a directory named after a known outside package,
   the same code in several repositories, or a naming style foreign to the language's files;
@@ -39,6 +39,7 @@ SERIAL_RUN = 6  # numbers 0, 1, 2, .. in its names from which a file's members a
 DENSE_LINE = 150  # mean length of lines of code of a minified file
 DENSE_SPACE = 0.2  # greatest share of white space in it
 MANGLED_BITS = 3.0  # cross-entropy per character of names above which they are mangled
+BRIEF_NAMES = 0.6  # share of names of three characters or less that tells mangling where few files trained the model
 MIN_PRINT = 40  # tokens that a file must have to count as copied
 FOREIGN_STYLE = 0.6  # distance of its share of snake_case names from the language's
 
@@ -64,7 +65,7 @@ _KEYWORDS = frozenset(
 
 FEATURES = (
     "path string, repo string, language string, machine boolean, owner boolean, dirs array<string>, print string, literal double, lines int, bits double, "
-    "mean_line double, space double, names int, serial int, snake double, grams array<int>, counts array<int>"
+    "mean_line double, space double, names int, brief double, serial int, snake double, grams array<int>, counts array<int>"
 )
 
 
@@ -133,11 +134,12 @@ def describe(path: str | None, repo: str | None, content: bytes | None) -> tuple
     blank = sum(x.count(" ") + x.count("\t") for x in lines) if n else 0
     prints = hashlib.md5(" ".join(text[a:b] for _, a, b in code).encode("utf-8", "surrogatepass")).hexdigest() if len(code) >= MIN_PRINT else None
     snake = sum("_" in w.strip("_") and not w.isupper() for w in names) / len(names) if names else 0.0
+    brief = sum(len(w) <= 3 for w in names) / len(names) if names else 0.0
     numbers = {int(m) for w in names for m in _NUMBERED.findall(w)} | {int(m) for k, a, b in code if k == "s" and b - a < 40 for m in _NUMBERED.findall(text[a + 1 : b - 1])}
     serial = next(i for i in range(len(numbers) + 1) if i not in numbers)
     dirs = [re.sub(r"[-_.@]?v?\d+(?:\.\d+)*$", "", x).lower() for x in (path or "").split("/")[1:-1]]
     grams, counts = _trigrams(names)
-    return path, repo, language, machine, owner, dirs, prints, literal / size if size else 0.0, n, bits, span / n if n else 0.0, blank / span if span else 0.0, len(names), serial, snake, grams, counts
+    return path, repo, language, machine, owner, dirs, prints, literal / size if size else 0.0, n, bits, span / n if n else 0.0, blank / span if span else 0.0, len(names), brief, serial, snake, grams, counts
 
 
 def _describe_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +220,7 @@ def judged(files: DataFrame, packages: DataFrame) -> DataFrame:
         F.max("repo").alias("repo"),
         F.max("language").alias("language"),
         F.max(yes(F.col("machine") | template)).alias("generated"),
-        F.max(yes(dense & (F.col("surprise") > MANGLED_BITS))).alias("minified"),
+        F.max(yes(dense & ((F.col("surprise") > MANGLED_BITS) | (F.col("brief") > BRIEF_NAMES)))).alias("minified"),
         F.max(yes(F.col("owner")) | yes(F.col("copied")) | yes(F.col("lies")) | yes((F.col("names") >= 10) & (F.abs(F.col("snake") - F.col("usual")) > FOREIGN_STYLE) & ~template)).alias("vendored"),
         F.max(yes((F.col("literal") >= DATA_SHARE) & (F.col("lines") > 0))).alias("data"),
     )

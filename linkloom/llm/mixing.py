@@ -32,15 +32,15 @@ def canonical(source):
 
 
 def plan(supply: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, weight, max_repeats, supply, demand, tilt) of the sources with a positive target.
+    """(source, target, weight, max_repeats, supply, demand, tilt) of the sources with a positive target and some text.
 
     The mix is as large as the scarcest source allows: demand = weight x min over sources of supply x max_repeats / weight.
-    A target source without any text gives a mix of nothing, since no other size meets the targets.
+    A target source without any text can't have a share; the weights of the others are scaled up to 1.
     """
-    wanted = targets.where("target_weight > 0 AND max_repeats > 0").groupBy(canonical("source").alias("source")).agg(F.sum("target_weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
+    wanted = targets.where("target_weight > 0 AND max_repeats > 0").groupBy(canonical("source").alias("source")).agg(F.sum("target_weight").alias("target"), F.max("max_repeats").alias("max_repeats"))
     every = W.partitionBy()  # a table of settings, some rows
-    joined = wanted.join(supply, "source", "left").fillna(0, ["supply"])
-    joined = joined.withColumn("weight", F.col("weight") / F.sum("weight").over(every))
+    joined = wanted.join(supply.where("supply > 0"), "source")
+    joined = joined.withColumn("weight", F.col("target") / F.sum("target").over(every))
     joined = joined.withColumn("demand", F.col("weight") * F.min(F.col("supply") * F.col("max_repeats") / F.col("weight")).over(every))
     gap = F.sum(F.col("weight") * F.col("weight")).over(every) - F.col("weight")
     widest = F.max(F.abs(F.col("gap"))).over(every)
@@ -83,14 +83,18 @@ def _uses(documents: DataFrame, targets: DataFrame, tokenizer: str | None) -> Da
 def mix_report(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(source, target_weight, reached_share, tokens, texts, uses, most_uses, early_share) of each target source.
 
-    ``early_share`` is the source's share of the tokens in the first half of the training time.
+    ``early_share`` is the source's share of the tokens in the first half of the training time. A target source without any
+    text is listed with zeros.
     """
     uses = _uses(documents, targets, tokenizer)
     early = F.col("position") < 0.5
     sums = uses.groupBy("source").agg(
-        F.max("weight").alias("target_weight"), F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("texts"), F.count(F.lit(1)).alias("uses"),
+        F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("texts"), F.count(F.lit(1)).alias("uses"),
         F.max("use").alias("most_uses"), F.sum(F.when(early, F.col("tokens")).otherwise(0)).alias("early"),
     )
     every = W.partitionBy()  # one row a source
     shared = sums.withColumn("reached_share", F.col("tokens") / F.sum("tokens").over(every)).withColumn("early_share", F.try_divide(F.col("early"), F.sum("early").over(every)))
-    return shared.select("source", F.round("target_weight", 6).alias("target_weight"), F.round("reached_share", 6).alias("reached_share"), "tokens", "texts", "uses", "most_uses", F.round("early_share", 6).alias("early_share"))
+    wanted = targets.where("target_weight > 0 AND max_repeats > 0").groupBy(canonical("source").alias("source")).agg(F.sum("target_weight").alias("target_weight"))
+    counts = ["tokens", "texts", "uses", "most_uses"]
+    shares = [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("target_weight", "reached_share")]
+    return wanted.join(shared, "source", "left").select("source", *shares, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.round(F.coalesce("early_share", F.lit(0.0)), 6).alias("early_share"))
