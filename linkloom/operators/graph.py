@@ -56,7 +56,7 @@ def degrees(call: DataFrame) -> DataFrame:
     ends = call.select(F.explode(F.array(F.struct(F.col("src").alias("fn"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("fn"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
     sums = ends.groupBy("fn").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     most = call.agg(F.least(F.lit(10), F.countDistinct("src") - 1).alias("most")).scalar()
-    value = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("out_degree") + F.col("in_degree"), 2 * most)), F.lit(0.5))
+    value = F.when(most > 0, F.least(F.lit(1.0), F.try_divide(F.col("out_degree") + F.col("in_degree"), 2 * most))).otherwise(0.5)
     return sums.select("fn", "out_degree", "in_degree", value.alias("centrality"))
 
 

@@ -227,7 +227,6 @@ def facts(files: DataFrame, dataflow: bool = True) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [r for p, c in part[["path", "content"]].itertuples(index=False, name=None) if p is not None for r in extract(p, c, dataflow)]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            yield out.astype({c: "Int32" for c in ("ord", "start_line", "end_line", "position")})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in COLUMNS})
 
     return files.select("path", "content").mapInPandas(run, FACTS)

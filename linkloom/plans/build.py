@@ -49,7 +49,7 @@ def build(files: DataFrame, dataflow: bool = True) -> dict[str, DataFrame]:
     """nodes, edges, metadata, statistics and errors of source files (path, content)."""
     rows = keep(facts(files, dataflow))
     nodes = _first_of(rows.where("kind = 'node'").select(*_NODE, "ord", "comment", "code"), "id")
-    own = rows.where("kind = 'edge'").groupBy("source_id", "target_id", "type", "language").agg(F.first("position", ignorenulls=True).alias("position"), F.max("detail").alias("detail"))
+    own = rows.where("kind = 'edge'").groupBy("source_id", "target_id", "type", "language").agg(F.min("position").alias("position"), F.max("detail").alias("detail"))
     called = call_edges(rows)
     edges = own.unionByName(called, allowMissingColumns=True)
     if dataflow:

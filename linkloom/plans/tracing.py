@@ -385,7 +385,7 @@ TD = f"""{CO}, un AS (SELECT doc_id, rank, ord, unnest(chain) AS node, unnest(ra
  td AS (SELECT *, CASE WHEN length(whole) > 300 THEN left(whole, 297) || '...' ELSE whole END AS semantic_summary FROM td0)"""
 DD = "dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rank, md5(semantic_summary) ORDER BY ord) AS k FROM td WHERE length(semantic_summary) >= 10) WHERE k = 1)"
 CP = "cp AS (SELECT * EXCLUDE (k2) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rank ORDER BY ord) AS k2 FROM dd) WHERE k2 <= CASE mode WHEN 'full' THEN 20 WHEN 'longest_only' THEN 10 ELSE 1 END)"
-DG = """dg AS (SELECT fn, sum(o) AS out_degree, sum(i) AS in_degree, coalesce(least(1.0, (sum(o) + sum(i)) / nullif(2 * least(10, (SELECT count(DISTINCT src) FROM cl) - 1), 0)), 0.5) AS centrality
+DG = """dg AS (SELECT fn, sum(o) AS out_degree, sum(i) AS in_degree, CASE WHEN (SELECT count(DISTINCT src) FROM cl) > 1 THEN least(1.0, (sum(o) + sum(i)) / (2 * least(10, (SELECT count(DISTINCT src) FROM cl) - 1))) ELSE 0.5 END AS centrality
  FROM (SELECT src AS fn, 1 AS o, 0 AS i FROM cl UNION ALL SELECT dst, 0, 1 FROM cl) GROUP BY fn)"""
 
 

@@ -6,10 +6,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .functions import text
 
 
+def _with(df: DataFrame, name: str) -> StructType:
+    return StructType([*df.schema.fields, StructField(name, StringType())])
+
+
 def summarize(functions: DataFrame, model: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
     """``functions`` (id, name, language, signature, code) with ``summary``: from a model called batch by batch, or the template."""
     if model is None:
@@ -22,7 +27,7 @@ def summarize(functions: DataFrame, model: Callable[[pd.DataFrame], pd.Series] |
             except Exception as e:  # noqa: BLE001 a failed call becomes a text, as a failed job would repeat all calls
                 yield part.assign(summary=f"Summary failed: {e}")
 
-    return functions.mapInPandas(run, functions.schema.add("summary", "string"))
+    return functions.mapInPandas(run, _with(functions, "summary"))
 
 
 def embed(rows: DataFrame, column: str, width: int, model: Callable[[pd.Series], list] | None = None) -> DataFrame:
@@ -54,5 +59,5 @@ def judge(chains: DataFrame, model: Callable[[pd.DataFrame], pd.Series] | None =
             except Exception:  # noqa: BLE001
                 yield part.assign(reply="")
 
-    replied = chains.mapInPandas(run, chains.schema.add("reply", "string"))
+    replied = chains.mapInPandas(run, _with(chains, "reply"))
     return replied.withColumn("scores", F.coalesce(text.parse_reply(F.col("reply")), text.neutral_scores()))

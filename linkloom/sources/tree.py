@@ -23,7 +23,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def read_requirements(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text): one requirement a .txt file, named by the file."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 
