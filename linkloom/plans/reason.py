@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scoring, text
 from ..operators import chains, graph, retrieve
+from ..runtime import cut
 
 
 def requirement_chunks(requirements: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: Da
     key = ["doc_id", "rank", "ord"]
     found = chains.walks(leaders.select("doc_id", "rank", "fn", "mode", "best_chunk_index"), call)
     told = chains.summarized(found, functions, key)
-    kept = chains.capped(chains.distinct_summaries(told, ["doc_id", "rank"], ["ord"]), ["doc_id", "rank"])
+    # judged chains are read by several joins and by the judge: they are written once, so that no model is asked twice
+    kept = cut(chains.capped(chains.distinct_summaries(told, ["doc_id", "rank"], ["ord"]), ["doc_id", "rank"]))
     near = hits.select("doc_id", F.col("chunk_index").alias("best_chunk_index"), F.col("fn").alias("__fn"), F.col("similarity").alias("__sim")).groupBy("doc_id", "best_chunk_index", "__fn").agg(F.max("__sim").alias("__sim"))
     nodes = kept.select(*key, "best_chunk_index", F.explode("chain").alias("__node")).withColumn("__fn", text.clean_func_id(F.col("__node")))
     means = nodes.join(near, ["doc_id", "best_chunk_index", "__fn"], "left").groupBy(*key).agg(F.avg(F.coalesce("__sim", F.lit(0.0))).alias("similarity"))
@@ -68,11 +70,11 @@ def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, ca
     """
     parts = requirement_chunks(requirements)
     hits = retrieve.top_products(vectors, functions)
-    hits = retrieve.gated(hits.withColumn("summary_similarity", F.lit(0.0)), gate)
+    hits = cut(retrieve.gated(hits.withColumn("summary_similarity", F.lit(0.0)), gate))
     found = retrieve.candidates(hits)
     leaders = retrieve.leading(found)
     rows = evidence(leaders, hits, functions, call, flow, judgments)
-    chosen = chains.choose(merged(rows))
+    chosen = cut(chains.choose(merged(rows)))
     best = chosen.where("place = 1").select("doc_id", F.array_join("chain", "->").alias("chain"), "semantic_summary", "posterior", F.col("judged").alias("summary_score"), F.col("reason").alias("selection_reason"))
     others = chosen.where("place between 2 and 4").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", "->").alias("chain")))), lambda x: x["chain"]).alias("alternatives"))
     totals = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_chunks"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
 from ..operators import chains, graph, resolve, retrieve
-from ..runtime import clean_id, table
+from ..runtime import clean_id, cut, table
 from . import reason as plan
 
 # ---------------------------------------------------------------- shared inputs
@@ -51,7 +51,7 @@ def _judgments(spark, d):
 
 def _hits(spark, d):
     found = retrieve.top_products(_vectors(spark, d), _functions(spark, d))
-    return retrieve.gated(found.withColumn("summary_similarity", F.lit(0.0)))
+    return cut(retrieve.gated(found.withColumn("summary_similarity", F.lit(0.0))))
 
 
 def _leaders(spark, d):
