@@ -39,7 +39,8 @@ _DATA = re.compile(r"^\s*[{\[<].*[}\]>],?\s*$|^\s*[}\])]+[;,]?\s*$|^\s*<\?|^\s*<
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:import|package|#include|def|function|return|public|private|static|var|const|let)\b.*[;:{(]\s*$|^\s*[$>]\s*\w+|\w+\([^()]*\)\s*[;{]")
 _REFERENCE = re.compile(r"\s*\((?:see|cf\.?|siehe|vgl\.?|ref\.?)\s[^()]*(?:\([^()]*\)[^()]*)*\)|\s*\[[^\[\]]*\](?:\([^()]*\))?|\s*\((?:[A-Z]{2,}-\d+|\d{4})\)", re.I)
 _INLINE = re.compile(r"`[^`]*`")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Numbers are words too; the vocabulary holds them as one.
+_WORD = re.compile(r"[^\W_]+(?:[.,'’-][^\W_]+)*")
 _END = re.compile(r"[.!?…]+[\"')\]]*(?:\s|$)")
 _VOWELS = re.compile(r"[aeiouy]+")
 #: Common words that tell the language.
@@ -135,7 +136,7 @@ def measure(text: str | None) -> tuple[bool, int, int, int, list[str], list[int]
         found = _WORD.findall(unit.lower())
         if not found:
             continue
-        words.update(found)
+        words.update("0" if w[0].isdigit() else w for w in found)
         ends = len(_END.findall(unit))
         sentences += ends + (0 if ends and _END.search(unit[-3:] + " ") else 1)
     n = sum(words.values())
