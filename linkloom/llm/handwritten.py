@@ -51,7 +51,7 @@ _MACHINE = re.compile(
 )
 #: A line that speaks of a notice is none.
 _REPORTED = re.compile(r"\b(?:says?|said|starts?|begins?|contains?|reads?|strip|strips|stripped|looks?|we|our|emitter|output|emits?|writes?|prints?|handled|elsewhere)\b", re.I)
-_OWNER = re.compile(r"SPDX-License-Identifier|\blicen[cs]ed?\b|\bimported from\b|in sync with upstream|\bcopyright\b|\(c\)\s*\d{4}|©", re.I)
+_OWNER = re.compile(r"SPDX-License-Identifier|\blicen[cs]ed?\b|\bimported from\b|in sync with upstream|\bcopyright\b|\(c\)\s*\w|©|\|\s*(?:MIT|BSD|Apache|GPL|zlib|ISC)\b", re.I)
 _OWN = re.compile(r"the owners of this repository|internal source of the", re.I)
 _STUB_NOTE = re.compile(r"auto-?generated (?:method|constructor|catch|getter|setter|class|javadoc)", re.I)
 _WORDS = re.compile(r"[A-Za-z_$][\w$]*")

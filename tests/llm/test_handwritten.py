@@ -20,6 +20,7 @@ def test_kinds_and_decoys(spark):
         ("r/src/Talk.java", HAND.replace("Tide", "Talk").replace("return 0;", "return 0; // Code generated by x. DO NOT EDIT.") + "// the header says @generated; we strip it\n", "r"),
         ("r/src/Gen.java", "// Code generated by wire. DO NOT EDIT.\n" + HAND.replace("Tide", "Gen"), "r"), ("r/src/Tail.java", HAND.replace("Tide", "Tail") + "// <auto-generated>\n", "r"), ("r/src/T.java", TABLE, "r"),
         ("r/src/m.js", MIN, "r"), ("r/src/k.h", DATA, "r"), ("r/src/Lic.java", "/*\n * Quillbox Authors\n * SPDX-License-Identifier: MIT\n */\n" + HAND.replace("Tide", "Lic"), "r"),
+        ("r/src/Bang.java", "/*! tide v2.1.0 | (c) The Harbor Crew | MIT */\n" + HAND.replace("Tide", "Bang"), "r"),
         ("r/third/quillbox-2.1.0/In.java", HAND.replace("Tide", "In"), "r"), ("r/third/party/Out.java", HAND.replace("Tide", "Out"), "r"), ("r/src/Wave.java", copy, "r"), ("q/src/Wave.java", "// moved\n" + copy, "q"),
         ("r/e.js", b"", "r"), ("r/n.js", None, None), (None, MIN, "r"),
     ]
@@ -27,6 +28,7 @@ def test_kinds_and_decoys(spark):
     hand = {"r/src/Tide.java", "r/generated/Own.java", "r/src/Stub.java", "r/src/Talk.java", "r/third/party/Out.java", "r/e.js", "r/n.js"}
     assert {p for p, k in got.items() if not k} == hand
     assert {p for p, k in got.items() if "generated" in k} == {"r/src/Gen.java", "r/src/Tail.java", "r/src/T.java"}
+    assert got["r/src/Bang.java"] == {"vendored"}
     assert got["r/src/k.h"] == {"data"} and got["r/src/Lic.java"] == {"vendored"} and got["r/third/quillbox-2.1.0/In.java"] == {"vendored"}
     assert got["r/src/Wave.java"] == got["q/src/Wave.java"] == {"vendored"}
 
