@@ -142,7 +142,7 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
             stack.append(m.start())
         elif stack:
             close[stack.pop()] = m.start()
-    for at, (kind, name, kinds, names) in opened.items():
+    for at, (kind, name, kinds, names, _) in opened.items():
         if kind != "type" or not name or (kinds and "other" in kinds):
             continue
         full = sep.join([*base, *[n for n in names if n], name])
@@ -156,7 +156,7 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
     seen: set[str] = set()
     spans: list[tuple[int, int]] = []
     for name, at, first, brace, end in functions(language, text):
-        kind, _, kinds, names = opened[brace]
+        _, _, kinds, names, _ = opened[brace]
         owners = [n for n in names if n]
         in_type = bool(kinds) and kinds[-1] == "type"
         if language == "cpp" and (m := re.search(r"((?:\w+(?:<[^<>]*>)?\s*::\s*)+)$", code[max(0, at - 200) : at])):

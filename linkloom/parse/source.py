@@ -7,7 +7,7 @@ function whose definition starts on the line after it.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from . import lexer as L
 
@@ -20,7 +20,7 @@ _NEST = r"\((?:[^(){};]|\((?:[^(){};]|\([^(){};]*\))*\))*\)"
 _SIGNATURE = {
     "java": re.compile(r"(?P<name>[^\W\d][\w$]*)\s*(?P<params>" + _NEST + r")\s*(?:throws\s+[\w$.,\s<>@]+)?\s*(?P<open>\{)"),
     "cpp": re.compile(
-        r"(?P<name>~?[^\W\d]\w*)\s*(?P<params>" + _NEST + r")\s*(?:(?:const|volatile|override|final|mutable|&&?|try|noexcept(?:\s*\([^()]*\))?|throw\s*\([^()]*\)|->\s*[\w:<>,*&\s]+|requires\s[^{;]*|[A-Z_]{3,})\s*)*(?::\s*(?!:)[^{};]*)?(?P<open>\{)"
+        r"(?P<name>~?[^\W\d]\w*)\s*(?P<params>" + _NEST + r")\s*(?:(?:const|volatile|override|final|mutable|&&?|try|noexcept(?:\s*\([^()]*\))?|throw\s*\([^()]*\)|->\s*[\w:<>,*&\s]+|requires\s[^{;]*|\b[A-Z_]{3,}\b)\s*)*(?::\s*(?!:)[^{};]*)?(?P<open>\{)"
     ),
     "javascript": re.compile(
         r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*" + _NEST + r"\s*(?P<open>\{)"
@@ -51,8 +51,9 @@ def blanked(text: str, toks: list) -> str:
 _TYPE = re.compile(r"\b(?:class|struct|interface|enum|record|union|namespace)\b(?!.*[=;])", re.S)
 
 
-def frames(code: str) -> dict[int, tuple[str, str]]:
-    """Of each opening brace: (what it opens, the name of the type), by the text between it and the statement before."""
+def frames(code: str) -> dict[int, tuple]:
+    """Of each opening brace: (what it opens, the name of the type or namespace, the same of the braces around it, the place of
+    the innermost of these or -1), by the text between it and the statement before."""
     found, stack = {}, []
     start = 0
     for m in re.finditer(r"[{};]", code):
@@ -72,8 +73,8 @@ def frames(code: str) -> dict[int, tuple[str, str]]:
                 name = n.group(1) if n else ""
             elif t and re.search(r"\b(?:class|struct|interface|enum|record)\b", head) and not re.search(r"\)\s*$", head):
                 kind = "type"
-            stack.append((kind, name))
-            found[at] = (kind, name, tuple(k for k, _ in stack[:-1]), tuple(n for _, n in stack[:-1]))
+            found[at] = (kind, name, tuple(k for k, _, _ in stack), tuple(n for _, n, _ in stack), stack[-1][2] if stack else -1)
+            stack.append((kind, name, at))
         elif m.group() == "}" and stack:
             stack.pop()
         start = at + 1
@@ -128,10 +129,10 @@ def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
                 continue  # no return type: a macro
         else:
             if any(k == "other" for k in around) and not (which == "3" and around[-1] == "type"):
-                method = which in ("2", "3") and _in_object(code, brace, around)
+                method = which in ("2", "3") and _in_object(code, frame)
                 if not method:
                     continue
-            if which == "3" and (inside != "type" and not _in_object(code, brace, around)):
+            if which == "3" and (inside != "type" and not _in_object(code, frame)):
                 continue
             if name == "constructor" or re.search(r"\bnew\s*$|\.\s*$", before) and which == "3":
                 continue
@@ -141,18 +142,12 @@ def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def _in_object(code: str, brace: int, around: tuple) -> bool:
-    """Whether the innermost brace around belongs to an object literal at the top level."""
-    depth = 0
-    for at in range(brace - 1, -1, -1):
-        c = code[at]
-        if c == "}":
-            depth += 1
-        elif c == "{":
-            if depth == 0:
-                return len([k for k in around if k == "other"]) == 1 and bool(re.search(r"[=(:,]\s*$|\breturn\s*$|\bdefault\s*$", code[max(0, at - 40) : at])) and not re.search(r"\)\s*$|=>\s*$", code[max(0, at - 40) : at])
-            depth -= 1
-    return False
+def _in_object(code: str, frame: tuple) -> bool:
+    """Whether the innermost brace around is that of an object literal at the top level."""
+    if sum(k == "other" for k in frame[2]) != 1 or frame[4] < 0:
+        return False
+    before = code[max(0, frame[4] - 40) : frame[4]]
+    return bool(re.search(r"[=(:,]\s*$|\breturn\s*$|\bdefault\s*$", before)) and not re.search(r"\)\s*$|=>\s*$", before)
 
 
 def comment_lines(comment: str) -> list[str]:
@@ -165,26 +160,28 @@ def comment_lines(comment: str) -> list[str]:
     return body
 
 
-def comment_above(text: str, toks: list, first: int, starts: list[int]) -> str:
-    """The comment that ends on the line above the line of ``first``; touching line comments are one comment."""
+def comment_above(text: str, comments: list, first: int, starts: list[int]) -> str:
+    """The comment that ends on the line above the line of ``first``; touching line comments are one comment.
+
+    comments: the comment tokens in order, starts: where the lines start.
+    """
     line = bisect_right(starts, first)  # 1-based
-    if line < 2:
-        return ""
-    comments = [(a, b) for k, a, b in toks if k == "c" and a < first]
     out: list[str] = []
     want = line - 1
-    for a, b in reversed(comments):
+    at = bisect_left(comments, first, key=lambda t: t[1])
+    while at and want:
+        at -= 1
+        _, a, b = comments[at]
         end = bisect_right(starts, max(a, b - 1))
         if end < want:
             break
         if end > want:
             continue
         begin = bisect_right(starts, a)
-        own = not text[starts[begin - 1] : a].strip()
-        if out and (not own or text[a : a + 2] != "//" or not out[0].lstrip().startswith("//")):
-            break
-        if not own:
+        if text[starts[begin - 1] : a].strip():
             break  # it ends a line of code and belongs to that
+        if out and (text[a : a + 2] != "//" or not out[0].startswith("//")):
+            break
         out.insert(0, text[a:b])
         want = begin - 1
         if text[a : a + 2] != "//":
