@@ -33,6 +33,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return probes.join(found, "id").select("probe_no", F.col("neighbour").alias("neighbor_id")).distinct()
 
 
+def p3_all(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar other functions of every function."""
+    vectors = neighbours.usable(table(spark, d, "graph_node").where(F.col("type").isin("Function", "Method")))
+    found = neighbours.nearest(vectors, vectors)
+    return found.select("id", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "source_file")
     excluded = handwritten.not_handwritten(files, table(spark, d, "library_symbol"))
@@ -73,7 +80,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_all, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_profile)}
 _SPACE = "' ' || chr(9) || chr(10) || chr(13)"
 SQL: dict[str, str] = {
     # exact search: the forest may miss what this finds, at these sizes it looks into nearly every leaf
