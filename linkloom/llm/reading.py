@@ -34,6 +34,8 @@ _RULE = re.compile(r"^\s*(?:[-=_*~+#]\s*){3,}$")
 _TABLE = re.compile(r"^\s*\|.*\|?\s*$|^\s*\+[-=+]+\+\s*$|\t.*\t|\S\s*\|\s*\S.*\|\s*\S")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d[.,\]]|(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b[\s:\[])")
 _TRACE = re.compile(r"^\s*(?:at\s+[\w.$<>]+\s*\(|Caused by:|\.\.\. \d+ more|Traceback \(|File \"|[\w.$]+(?:Exception|Error)\b(?::|$)|Exception in )")
+#: The same for lines that begin with a letter.
+_WORDY = re.compile("|".join(f"(?:{r.pattern})" for r in (_HEADING, _LOG, _TRACE)))
 _LINK = re.compile(r"(?:https?|ftp|file)://\S+|www\.\S+\.\S+|\S+@\S+\.\w+")
 _DATA = re.compile(r"^\s*[{\[<].*[}\]>],?\s*$|^\s*[}\])]+[;,]?\s*$|^\s*<\?|^\s*</?\w+[^>]*>\s*$")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:import|package|#include|def|function|return|public|private|static|var|const|let)\b.*[;:{(]\s*$|^\s*[$>]\s*\w+|\w+\([^()]*\)\s*[;{]")
@@ -86,9 +88,13 @@ def prose_units(text: str | None) -> list[str]:
         items_list[0] = False
         single = len(items) == 1 and not items[0][0]
         for listed, unit in items:
-            unit = _REFERENCE.sub("", unit)
-            unit = _INLINE.sub(" ", unit)
-            unit = _LINK.sub(" ", unit).strip()
+            if "(" in unit or "[" in unit:
+                unit = _REFERENCE.sub("", unit)
+            if "`" in unit:
+                unit = _INLINE.sub(" ", unit)
+            if "://" in unit or "www." in unit or "@" in unit:
+                unit = _LINK.sub(" ", unit)
+            unit = unit.strip()
             if not unit:
                 continue
             if single and not re.search(r"[.!?:;,…]['\")\]]*$", unit) and len(unit.split()) <= 8:
@@ -114,12 +120,12 @@ def prose_units(text: str | None) -> list[str]:
         if line[0] == ">":
             line = line.lstrip("> ")
             bare = line.strip()
-        if (
-            _HEADING.match(line) or _RULE.match(line) or _TABLE.search(line) or _LOG.match(line) or _TRACE.match(line) or _DATA.match(line)
-            or ((line[:4] == "    " or line[0] == "\t") and not _LIST.match(line) and not (block and _LIST.match(block[0])))
-            or (bare[-1] in ";{}" and _CODE.search(line) and not re.search(r"[a-z] [a-z]+ [a-z]+ ", line))
-            or (_LINK.match(bare) and " " not in bare)
-        ):
+        if line[0].isalpha():  # most lines: only what can begin with a letter
+            odd = _WORDY.match(line) or (("|" in line or "\t" in line) and _TABLE.search(line))
+        else:
+            odd = _HEADING.match(line) or _RULE.match(line) or _TABLE.search(line) or _LOG.match(line) or _TRACE.match(line) or _DATA.match(line)
+            odd = odd or ((line[:4] == "    " or line[0] == "\t") and not _LIST.match(line) and not (block and _LIST.match(block[0])))
+        if odd or (bare[-1] in ";{}" and _CODE.search(line) and not re.search(r"[a-z] [a-z]+ [a-z]+ ", line)) or (" " not in bare and _LINK.match(bare)):
             flush()
             continue
         block.append(line)
@@ -136,9 +142,11 @@ def measure(text: str | None) -> tuple[bool, int, int, int, list[str], list[int]
         found = _WORD.findall(unit.lower())
         if not found:
             continue
-        words.update("0" if w[0].isdigit() else w for w in found)
+        words.update(found)
         ends = len(_END.findall(unit))
         sentences += ends + (0 if ends and _END.search(unit[-3:] + " ") else 1)
+    for w in [w for w in words if w[0].isdigit() and w != "0"]:
+        words["0"] += words.pop(w)
     n = sum(words.values())
     english = sum(c for w, c in words.items() if w in _ENGLISH)
     german = sum(c for w, c in words.items() if w in _GERMAN)
