@@ -14,9 +14,21 @@ def requirement_chunks(requirements: DataFrame) -> DataFrame:
     return requirements.select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_index", "text"))
 
 
-def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None) -> DataFrame:
+def node_similarities(asked: DataFrame, vectors: DataFrame, functions: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, fn, similarity) of each distinct (doc_id, chunk_index, fn), ungated; functions that are not known are left out."""
+    rows = asked.select("doc_id", "chunk_index", "fn").distinct()
+    known = functions.select(F.col("clean").alias("fn"), F.col("vector").alias("__vector"))
+    met = rows.join(known, "fn").join(vectors.select("doc_id", "chunk_index", F.col("vector").alias("__chunk")), ["doc_id", "chunk_index"])
+    value = scoring.blend(scoring.cosine(F.col("__vector"), F.col("__chunk")), F.lit(0.0))
+    return met.groupBy("doc_id", "chunk_index", "fn").agg(F.max(value).alias("similarity"))
+
+
+def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Scored chains of the leading candidates: chain, semantic_summary, similarity, judged, prior, posterior and what led there.
 
+    The similarity of a chain is the mean over all of its nodes of their similarity to the candidate's best chunk, whose
+    vector is in ``vectors``; a node that is not in ``functions`` counts as 0. Without vectors only nodes among the chunk's
+    ``hits`` have a similarity, as in the SQL twins of the queries.
     judgments: (doc_id, rank, scores) of a judge, the struct of ``text.parse_reply``; without one every chain gets the
     neutral scores. The judge sees a chain only after equal summaries are gone and the cap of its mode is applied.
     """
@@ -25,8 +37,10 @@ def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: Da
     told = chains.summarized(found, functions, key)
     # judged chains are read by several joins and by the judge: they are written once, so that no model is asked twice
     kept = cut(chains.capped(chains.distinct_summaries(told, ["doc_id", "rank"], ["ord"]), ["doc_id", "rank"]))
-    near = hits.select("doc_id", F.col("chunk_index").alias("best_chunk_index"), F.col("fn").alias("__fn"), F.col("similarity").alias("__sim")).groupBy("doc_id", "best_chunk_index", "__fn").agg(F.max("__sim").alias("__sim"))
     nodes = kept.select(*key, "best_chunk_index", F.explode("chain").alias("__node")).withColumn("__fn", text.clean_func_id(F.col("__node")))
+    if vectors is not None:
+        hits = node_similarities(nodes.select("doc_id", F.col("best_chunk_index").alias("chunk_index"), F.col("__fn").alias("fn")), vectors, functions)
+    near = hits.select("doc_id", F.col("chunk_index").alias("best_chunk_index"), F.col("fn").alias("__fn"), F.col("similarity").alias("__sim")).groupBy("doc_id", "best_chunk_index", "__fn").agg(F.max("__sim").alias("__sim"))
     means = nodes.join(near, ["doc_id", "best_chunk_index", "__fn"], "left").groupBy(*key).agg(F.avg(F.coalesce("__sim", F.lit(0.0))).alias("similarity"))
     shape = chains.structure(kept, call, flow, graph.degrees(call), key)
     rows = kept.join(means, key).join(shape, key)
@@ -63,17 +77,18 @@ def report(chosen: DataFrame, first_chunks: DataFrame) -> DataFrame:
     return rows.select("doc_id", body.alias("report"))
 
 
-def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, gate: float = scoring.GATE) -> DataFrame:
+def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, gate: float = scoring.GATE, all_nodes: bool = True) -> DataFrame:
     """The result of each requirement: counts, the chosen chain with its scores and report, and up to three alternatives.
 
     vectors: (doc_id, chunk_index, vector) of an embedder. Documents without candidate or chain come out with empty fields.
+    all_nodes: whether every node of a chain is compared with the chunk, or as in the SQL twin only those among its hits.
     """
     parts = requirement_chunks(requirements)
     hits = retrieve.top_products(vectors, functions)
     hits = cut(retrieve.gated(hits.withColumn("summary_similarity", F.lit(0.0)), gate))
     found = retrieve.candidates(hits)
     leaders = retrieve.leading(found)
-    rows = evidence(leaders, hits, functions, call, flow, judgments)
+    rows = evidence(leaders, hits, functions, call, flow, judgments, vectors if all_nodes else None)
     chosen = cut(chains.choose(merged(rows)))
     best = chosen.where("place = 1").select("doc_id", F.array_join("chain", "->").alias("chain"), "semantic_summary", "posterior", F.col("judged").alias("summary_score"), F.col("reason").alias("selection_reason"))
     others = chosen.where("place between 2 and 4").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", "->").alias("chain")))), lambda x: x["chain"]).alias("alternatives"))

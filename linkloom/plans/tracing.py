@@ -255,7 +255,7 @@ def run_statistics(spark, d):
 
 
 def trace_result(spark, d):
-    return plan.reason(table(spark, d, "requirement_text"), _vectors(spark, d), _functions(spark, d), _calls(spark, d), _flow(spark, d), _judgments(spark, d))
+    return plan.reason(table(spark, d, "requirement_text"), _vectors(spark, d), _functions(spark, d), _calls(spark, d), _flow(spark, d), _judgments(spark, d), all_nodes=False)
 
 
 def beta_likelihoods(spark, d):
