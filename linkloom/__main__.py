@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from .operators import graph
 from .plans import build as B, reason as R
-from .providers import embed
+from .providers import embed, judge
 from .sources import sinks, tree
 
 
@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     edges = tree.read_graph(spark, f"{args.knowledge}/edges.json")
     texts = tree.read_requirements(spark, args.requirements)
     parts = embed(R.requirement_chunks(texts), "text", args.width).select("doc_id", "chunk_index", F.col("embedding").alias("vector"))
-    R.reason(texts, parts, functions, graph.calls(edges), graph.flows(edges)).write.mode("overwrite").parquet(args.out)
+    R.reason(texts, parts, functions, graph.calls(edges), graph.flows(edges), judge=judge).write.mode("overwrite").parquet(args.out)
     return 0
 
 

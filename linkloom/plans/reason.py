@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scoring, text
 from ..operators import chains, graph, retrieve
 from ..runtime import cut
 
+KEY_NODES, REQUIREMENT = 5, 500  # what a judge sees: key nodes with their summaries, characters of the requirement
+Judge = Callable[[DataFrame], DataFrame]
+
 
 def requirement_chunks(requirements: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, text)."""
@@ -23,14 +28,33 @@ def node_similarities(asked: DataFrame, vectors: DataFrame, functions: DataFrame
     return met.groupBy("doc_id", "chunk_index", "fn").agg(F.max(value).alias("similarity"))
 
 
-def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def judge_inputs(kept: DataFrame, chunks: DataFrame, functions: DataFrame) -> DataFrame:
+    """What a judge is told of each chain: (doc_id, rank, ord, requirement, semantic_summary, key_nodes, node_details).
+
+    The requirement is the candidate's best chunk, cut at 500 characters; node_details are the summaries of the first five
+    key nodes that have one, each after its node.
+    """
+    key = ["doc_id", "rank", "ord"]
+    told = functions.where("summary is not null").groupBy(F.col("clean").alias("__fn")).agg(F.max("summary").alias("__summary"))
+    nodes = kept.select(*key, F.posexplode(F.slice("key_nodes", 1, KEY_NODES)).alias("__pos", "__node")).withColumn("__fn", text.clean_func_id(F.col("__node")))
+    line = F.struct("__pos", F.concat_ws(": ", "__node", "__summary").alias("line"))
+    details = nodes.join(told, "__fn").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("node_details"))
+    asked = chunks.select("doc_id", F.col("chunk_index").alias("best_chunk_index"), F.left("text", F.lit(REQUIREMENT)).alias("requirement"))
+    rows = kept.join(asked, ["doc_id", "best_chunk_index"], "left").join(details, key, "left")
+    return rows.select(*key, "requirement", "semantic_summary", "key_nodes", F.coalesce("node_details", F.array().cast("array<string>")).alias("node_details"))
+
+
+def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, vectors: DataFrame | None = None,
+             chunks: DataFrame | None = None, judge: Judge | None = None) -> DataFrame:
     """Scored chains of the leading candidates: chain, semantic_summary, similarity, judged, prior, posterior and what led there.
 
     The similarity of a chain is the mean over all of its nodes of their similarity to the candidate's best chunk, whose
     vector is in ``vectors``; a node that is not in ``functions`` counts as 0. Without vectors only nodes among the chunk's
     ``hits`` have a similarity, as in the SQL twins of the queries.
-    judgments: (doc_id, rank, scores) of a judge, the struct of ``text.parse_reply``; without one every chain gets the
-    neutral scores. The judge sees a chain only after equal summaries are gone and the cap of its mode is applied.
+    judge: gives ``scores``, the struct of ``text.parse_reply``, to each row of ``judge_inputs``, such as ``providers.judge``
+    with a model; it sees a chain only after equal summaries are gone and the cap of its mode is applied, and its
+    requirements come from ``chunks`` (doc_id, chunk_index, text). Without a judge, judgments: (doc_id, rank, ord, scores)
+    given for each chain, or (doc_id, rank, scores) for all chains of a candidate. What has no scores gets the neutral ones.
     """
     key = ["doc_id", "rank", "ord"]
     found = chains.walks(leaders.select("doc_id", "rank", "fn", "mode", "best_chunk_index"), call)
@@ -44,8 +68,10 @@ def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: Da
     means = nodes.join(near, ["doc_id", "best_chunk_index", "__fn"], "left").groupBy(*key).agg(F.avg(F.coalesce("__sim", F.lit(0.0))).alias("similarity"))
     shape = chains.structure(kept, call, flow, graph.degrees(call), key)
     rows = kept.join(means, key).join(shape, key)
+    if judge is not None:
+        judgments = cut(judge(judge_inputs(kept, chunks, functions)).select(*key, "scores"))
     if judgments is not None:
-        rows = rows.join(judgments, ["doc_id", "rank"], "left").withColumn("scores", F.coalesce("scores", text.neutral_scores()))
+        rows = rows.join(judgments, [k for k in key if k in judgments.columns], "left").withColumn("scores", F.coalesce("scores", text.neutral_scores()))
     else:
         rows = rows.withColumn("scores", text.neutral_scores())
     length = F.size("chain")
@@ -77,18 +103,20 @@ def report(chosen: DataFrame, first_chunks: DataFrame) -> DataFrame:
     return rows.select("doc_id", body.alias("report"))
 
 
-def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, gate: float = scoring.GATE, all_nodes: bool = True) -> DataFrame:
+def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, gate: float = scoring.GATE, all_nodes: bool = True,
+           judge: Judge | None = None) -> DataFrame:
     """The result of each requirement: counts, the chosen chain with its scores and report, and up to three alternatives.
 
     vectors: (doc_id, chunk_index, vector) of an embedder. Documents without candidate or chain come out with empty fields.
     all_nodes: whether every node of a chain is compared with the chunk, or as in the SQL twin only those among its hits.
+    judge: asked for each chain, see ``evidence``.
     """
     parts = requirement_chunks(requirements)
     hits = retrieve.top_products(vectors, functions)
     hits = cut(retrieve.gated(hits.withColumn("summary_similarity", F.lit(0.0)), gate))
     found = retrieve.candidates(hits)
     leaders = retrieve.leading(found)
-    rows = evidence(leaders, hits, functions, call, flow, judgments, vectors if all_nodes else None)
+    rows = evidence(leaders, hits, functions, call, flow, judgments, vectors if all_nodes else None, parts, judge)
     chosen = cut(chains.choose(merged(rows)))
     best = chosen.where("place = 1").select("doc_id", F.array_join("chain", "->").alias("chain"), "semantic_summary", "posterior", F.col("judged").alias("summary_score"), F.col("reason").alias("selection_reason"))
     others = chosen.where("place between 2 and 4").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", "->").alias("chain")))), lambda x: x["chain"]).alias("alternatives"))

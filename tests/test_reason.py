@@ -1,8 +1,12 @@
 import math
+from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.operators import graph, retrieve
+from linkloom import providers
+from linkloom.functions import text
+from linkloom.operators import chains, graph, retrieve
 from linkloom.plans import reason as R
 
 
@@ -23,15 +27,21 @@ def world(spark):
     return {"requirements": requirements, "vectors": vectors, "functions": functions, "call": call, "flow": flow}
 
 
+def leaders_and(world, hits):
+    return retrieve.leading(retrieve.candidates(hits)), hits, world["functions"], world["call"], world["flow"]
+
+
+def chains_of(world, hits):
+    found = chains.walks(leaders_and(world, hits)[0].select("doc_id", "rank", "fn", "mode", "best_chunk_index"), world["call"])
+    return chains.distinct_summaries(chains.summarized(found, world["functions"], ["doc_id", "rank", "ord"]), ["doc_id", "rank"], ["ord"])
+
+
 def rows_of(world, hits, **more):
-    leaders = retrieve.leading(retrieve.candidates(hits))
-    rows = R.evidence(leaders, hits, world["functions"], world["call"], world["flow"], **more).collect()
+    rows = R.evidence(*leaders_and(world, hits), **more).collect()
     return {"".join(r["chain"]): r for r in rows}
 
 
 def hits_of(world):
-    from pyspark.sql import functions as F
-
     return retrieve.gated(retrieve.top_products(world["vectors"], world["functions"]).withColumn("summary_similarity", F.lit(0.0)))
 
 
@@ -42,3 +52,16 @@ def test_every_known_node_of_a_chain_is_compared_with_the_chunk(world):
     assert got == {"ab": 0.65, "abc": 0.53333, "ac": 0.6}
     best = R.reason(**world).first()
     assert best["chain"] == "a->b->c" and "Similarity          0.533" in best["report"]
+
+
+def test_each_chain_has_a_judgment_of_its_own(world):
+    hits = hits_of(world)
+    reply = lambda p: p["semantic_summary"].map(lambda x: "Overall Score: 0.9" if "rope" in x and "crank" in x else "Overall Score: 0.2")
+    seen = providers.judge(R.judge_inputs(R.cut(chains_of(world, hits)), R.requirement_chunks(world["requirements"]), world["functions"]), reply).collect()
+    assert {r["requirement"] for r in seen} == {"Read the page."} and all(r["node_details"] for r in seen)
+    got = {k: r["judged"] for k, r in rows_of(world, hits, chunks=R.requirement_chunks(world["requirements"]), judge=partial(providers.judge, model=reply)).items()}
+    assert got == {"ab": 0.2, "abc": 0.9, "ac": 0.2}
+    own = R.evidence(*leaders_and(world, hits)).select("doc_id", "rank", "ord", F.when(F.size("chain") == 3, 0.8).otherwise(0.1).alias("x"))
+    judgments = own.select("doc_id", "rank", "ord", text.neutral_scores().withField("overall", F.col("x")).alias("scores"))
+    assert {k: r["judged"] for k, r in rows_of(world, hits, judgments=judgments).items()} == {"ab": 0.1, "abc": 0.8, "ac": 0.1}
+    assert R.reason(**world, judge=partial(providers.judge, model=reply)).first()["summary_score"] == 0.9
