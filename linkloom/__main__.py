@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -32,8 +33,9 @@ def main(argv: list[str] | None = None) -> int:
     functions = tree.read_metadata(spark, f"{args.knowledge}/metadata.json")
     edges = tree.read_graph(spark, f"{args.knowledge}/edges.json")
     texts = tree.read_requirements(spark, args.requirements)
-    parts = embed(R.requirement_chunks(texts), "text", args.width).select("doc_id", "chunk_index", F.col("embedding").alias("vector"))
-    R.reason(texts, parts, functions, graph.calls(edges), graph.flows(edges), judge=judge).write.mode("overwrite").parquet(args.out)
+    embedder = partial(embed, width=args.width)
+    parts = embedder(R.requirement_chunks(texts), "text").select("doc_id", "chunk_index", F.col("embedding").alias("vector"))
+    R.reason(texts, parts, functions, graph.calls(edges), graph.flows(edges), judge=judge, embedder=embedder).write.mode("overwrite").parquet(args.out)
     return 0
 
 

@@ -11,6 +11,7 @@ from ..operators import chains, graph, retrieve
 from ..runtime import cut
 
 KEY_NODES, REQUIREMENT = 5, 500  # what a judge sees: key nodes with their summaries, characters of the requirement
+Embedder = Callable[[DataFrame, str], DataFrame]
 Judge = Callable[[DataFrame], DataFrame]
 
 
@@ -19,12 +20,25 @@ def requirement_chunks(requirements: DataFrame) -> DataFrame:
     return requirements.select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_index", "text"))
 
 
-def node_similarities(asked: DataFrame, vectors: DataFrame, functions: DataFrame) -> DataFrame:
+def with_summary_similarity(rows: DataFrame, vectors: DataFrame, functions: DataFrame, embedder: Embedder | None) -> DataFrame:
+    """``rows`` (doc_id, chunk_index, fn, ..) with summary_similarity: the cosine of the chunk's vector and that of the
+    function's summary; 0 without summary or embedder."""
+    if embedder is None:
+        return rows.withColumn("summary_similarity", F.lit(0.0))
+    told = functions.where("summary is not null").groupBy(F.col("clean").alias("fn")).agg(F.max("summary").alias("__summary"))
+    spoken = embedder(rows.select("fn").distinct().join(told, "fn"), "__summary").select("fn", F.col("embedding").alias("__told"))
+    asked = vectors.select("doc_id", "chunk_index", F.col("vector").alias("__chunk"))
+    met = rows.join(spoken, "fn", "left").join(asked, ["doc_id", "chunk_index"], "left")
+    return met.withColumn("summary_similarity", scoring.cosine(F.col("__told"), F.col("__chunk"))).drop("__told", "__chunk")
+
+
+def node_similarities(asked: DataFrame, vectors: DataFrame, functions: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """(doc_id, chunk_index, fn, similarity) of each distinct (doc_id, chunk_index, fn), ungated; functions that are not known are left out."""
     rows = asked.select("doc_id", "chunk_index", "fn").distinct()
     known = functions.select(F.col("clean").alias("fn"), F.col("vector").alias("__vector"))
     met = rows.join(known, "fn").join(vectors.select("doc_id", "chunk_index", F.col("vector").alias("__chunk")), ["doc_id", "chunk_index"])
-    value = scoring.blend(scoring.cosine(F.col("__vector"), F.col("__chunk")), F.lit(0.0))
+    met = with_summary_similarity(met.withColumn("vector_similarity", scoring.cosine(F.col("__vector"), F.col("__chunk"))).drop("__vector", "__chunk"), vectors, functions, embedder)
+    value = scoring.blend(F.col("vector_similarity"), F.col("summary_similarity"))
     return met.groupBy("doc_id", "chunk_index", "fn").agg(F.max(value).alias("similarity"))
 
 
@@ -45,12 +59,12 @@ def judge_inputs(kept: DataFrame, chunks: DataFrame, functions: DataFrame) -> Da
 
 
 def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, vectors: DataFrame | None = None,
-             chunks: DataFrame | None = None, judge: Judge | None = None) -> DataFrame:
+             chunks: DataFrame | None = None, judge: Judge | None = None, embedder: Embedder | None = None) -> DataFrame:
     """Scored chains of the leading candidates: chain, semantic_summary, similarity, judged, prior, posterior and what led there.
 
     The similarity of a chain is the mean over all of its nodes of their similarity to the candidate's best chunk, whose
     vector is in ``vectors``; a node that is not in ``functions`` counts as 0. Without vectors only nodes among the chunk's
-    ``hits`` have a similarity, as in the SQL twins of the queries.
+    ``hits`` have a similarity, as in the SQL twins of the queries. With an ``embedder`` it blends in that of the summary.
     judge: gives ``scores``, the struct of ``text.parse_reply``, to each row of ``judge_inputs``, such as ``providers.judge``
     with a model; it sees a chain only after equal summaries are gone and the cap of its mode is applied, and its
     requirements come from ``chunks`` (doc_id, chunk_index, text). Without a judge, judgments: (doc_id, rank, ord, scores)
@@ -63,7 +77,7 @@ def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: Da
     kept = cut(chains.capped(chains.distinct_summaries(told, ["doc_id", "rank"], ["ord"]), ["doc_id", "rank"]))
     nodes = kept.select(*key, "best_chunk_index", F.explode("chain").alias("__node")).withColumn("__fn", text.clean_func_id(F.col("__node")))
     if vectors is not None:
-        hits = node_similarities(nodes.select("doc_id", F.col("best_chunk_index").alias("chunk_index"), F.col("__fn").alias("fn")), vectors, functions)
+        hits = node_similarities(nodes.select("doc_id", F.col("best_chunk_index").alias("chunk_index"), F.col("__fn").alias("fn")), vectors, functions, embedder)
     near = hits.select("doc_id", F.col("chunk_index").alias("best_chunk_index"), F.col("fn").alias("__fn"), F.col("similarity").alias("__sim")).groupBy("doc_id", "best_chunk_index", "__fn").agg(F.max("__sim").alias("__sim"))
     means = nodes.join(near, ["doc_id", "best_chunk_index", "__fn"], "left").groupBy(*key).agg(F.avg(F.coalesce("__sim", F.lit(0.0))).alias("similarity"))
     shape = chains.structure(kept, call, flow, graph.degrees(call), key)
@@ -104,19 +118,20 @@ def report(chosen: DataFrame, first_chunks: DataFrame) -> DataFrame:
 
 
 def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, gate: float = scoring.GATE, all_nodes: bool = True,
-           judge: Judge | None = None) -> DataFrame:
+           judge: Judge | None = None, embedder: Embedder | None = None) -> DataFrame:
     """The result of each requirement: counts, the chosen chain with its scores and report, and up to three alternatives.
 
     vectors: (doc_id, chunk_index, vector) of an embedder. Documents without candidate or chain come out with empty fields.
     all_nodes: whether every node of a chain is compared with the chunk, or as in the SQL twin only those among its hits.
-    judge: asked for each chain, see ``evidence``.
+    judge: asked for each chain, see ``evidence``. embedder: gives ``embedding`` to rows by a column of texts, as
+    ``providers.embed`` with the model of ``vectors``; without one summaries have no similarity.
     """
     parts = requirement_chunks(requirements)
     hits = retrieve.top_products(vectors, functions)
-    hits = cut(retrieve.gated(hits.withColumn("summary_similarity", F.lit(0.0)), gate))
+    hits = cut(retrieve.gated(with_summary_similarity(hits, vectors, functions, embedder), gate))
     found = retrieve.candidates(hits)
     leaders = retrieve.leading(found)
-    rows = evidence(leaders, hits, functions, call, flow, judgments, vectors if all_nodes else None, parts, judge)
+    rows = evidence(leaders, hits, functions, call, flow, judgments, vectors if all_nodes else None, parts, judge, embedder)
     chosen = cut(chains.choose(merged(rows)))
     best = chosen.where("place = 1").select("doc_id", F.array_join("chain", "->").alias("chain"), "semantic_summary", "posterior", F.col("judged").alias("summary_score"), F.col("reason").alias("selection_reason"))
     others = chosen.where("place between 2 and 4").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", "->").alias("chain")))), lambda x: x["chain"]).alias("alternatives"))

@@ -65,3 +65,15 @@ def test_each_chain_has_a_judgment_of_its_own(world):
     judgments = own.select("doc_id", "rank", "ord", text.neutral_scores().withField("overall", F.col("x")).alias("scores"))
     assert {k: r["judged"] for k, r in rows_of(world, hits, judgments=judgments).items()} == {"ab": 0.1, "abc": 0.8, "ac": 0.1}
     assert R.reason(**world, judge=partial(providers.judge, model=reply)).first()["summary_score"] == 0.9
+
+
+def test_summaries_are_embedded_and_blended(spark, world):
+    near = {"turns the rusty crank": unit(0.8), "winds the long rope": unit(0.2)}
+    embedder = partial(providers.embed, width=2, model=lambda t: [near.get(x, [0.0, 0.0]) for x in t])
+    asked = retrieve.top_products(world["vectors"], world["functions"])
+    hits = retrieve.gated(R.with_summary_similarity(asked, world["vectors"], world["functions"], embedder))
+    assert {r["fn"]: (round(r["similarity"], 5), r["detail"]) for r in hits.collect()} == {"a": (0.9, "Vector DB:0.900"), "b": (0.56, "Vector DB:0.400+Summary:0.800")}
+    nodes = spark.createDataFrame([("r", 0, k) for k in ("a", "b", "c", "gone")], "doc_id string, chunk_index int, fn string")
+    got = R.node_similarities(nodes, world["vectors"], world["functions"], embedder).collect()
+    assert {r["fn"]: round(r["similarity"], 5) for r in got} == {"a": 0.9, "b": 0.56, "c": 0.26}
+    assert R.reason(**world, embedder=embedder).first()["total_candidates"] == 2
