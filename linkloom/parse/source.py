@@ -15,19 +15,25 @@ _NOT_NAMES = frozenset(
     "if for while switch catch return new else do try synchronized throw sizeof alignof decltype typeof delete case function await yield assert super this static_assert defined with in of instanceof "
     "int long short char float double bool boolean void auto const noexcept requires alignas and or not operator template".split()
 )
-#: A name, its parameter list up to one level of nesting, what may stand before the body, and the opening brace.
-_NEST = r"\((?:[^(){};]|\((?:[^(){};]|\([^(){};]*\))*\))*\)"
+#: A name and what follows it up to its parameter list, which brackets delimit as it may hold braces.
 _SIGNATURE = {
-    "java": re.compile(r"(?P<name>[^\W\d][\w$]*)\s*(?P<params>" + _NEST + r")\s*(?:throws\s+[\w$.,\s<>@]+)?\s*(?P<open>\{)"),
-    "cpp": re.compile(
-        r"(?P<name>~?[^\W\d]\w*)\s*(?P<params>" + _NEST + r")\s*(?:(?:const|volatile|override|final|mutable|&&?|try|noexcept(?:\s*\([^()]*\))?|throw\s*\([^()]*\)|->\s*[\w:<>,*&\s]+|requires\s[^{;]*|\b[A-Z_]{3,}\b)\s*)*(?::\s*(?!:)[^{};]*)?(?P<open>\{)"
-    ),
+    "java": re.compile(r"(?P<name>[^\W\d][\w$]*)\s*(?P<list>\()"),
+    "cpp": re.compile(r"(?P<name>~?[^\W\d]\w*)\s*(?P<list>\()"),
     "javascript": re.compile(
-        r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*" + _NEST + r"\s*(?P<open>\{)"
-        r"|(?P<name2>#?[\w$]+)\s*[=:]\s*(?:async\s*)?(?:function\s*\*?\s*(?:[\w$]+\s*)?" + _NEST + r"|(?:" + _NEST + r"|[\w$]+)\s*=>)\s*(?P<open2>\{)"
-        r"|(?P<name3>#?[\w$]+)\s*(?P<params3>" + _NEST + r")\s*(?P<open3>\{)"
+        r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*(?P<list>\()"
+        r"|(?P<name2>#?[\w$]+)\s*(?P<mark>[=:])\s*(?:async\s*)?(?:function\s*\*?\s*(?P<own>[\w$]+\s*)?(?P<list2>\()|(?P<arrow>\()|[\w$]+\s*=>\s*(?P<open2>\{))"
+        r"|(?P<name3>#?[\w$]+)\s*(?P<list3>\()"
     ),
 }
+#: What may stand between the parameter list and the body, and the opening brace.
+_BODY = {
+    "java": re.compile(r"\s*(?:throws\s+[\w$.,\s<>@]+)?\s*(?P<open>\{)"),
+    "cpp": re.compile(
+        r"\s*(?:(?:const|volatile|override|final|mutable|&&?|try|noexcept(?:\s*\([^()]*\))?|throw\s*\([^()]*\)|->\s*[\w:<>,*&\s]+|requires\s[^{;]*|\b[A-Z_]{3,}\b)\s*)*(?::\s*(?!:)[^{};]*)?(?P<open>\{)"
+    ),
+    "javascript": re.compile(r"\s*(?P<open>\{)"),
+    "arrow": re.compile(r"\s*=>\s*(?P<open>\{)"),
+}
 
 
 def blanked(text: str, toks: list) -> str:
@@ -81,12 +87,49 @@ def frames(code: str) -> dict[int, tuple]:
     return found
 
 
+def _parentheses(code: str) -> dict[int, int]:
+    """The other end of each parenthesis; one that a brace leaves open has none."""
+    ends, stack = {}, []
+    for m in re.finditer(r"[(){}]", code):
+        c, at = m.group(), m.start()
+        if c in "({":
+            stack.append((c, at))
+        elif c == ")":
+            if stack and stack[-1][0] == "(":
+                o = stack.pop()[1]
+                ends[o], ends[at] = at, o
+        else:
+            while stack and stack.pop()[0] != "{":
+                pass
+    return ends
+
+
+def _statement(code: str, at: int, ends: dict[int, int]) -> int:
+    """Where the definition whose name is at ``at`` starts: after the statement before, braces of its annotations apart."""
+    until = at
+    while True:
+        last = max(code.rfind(c, 0, until) for c in ";{}")
+        q = code.find(")", last + 1, until)
+        while q >= 0 and ends.get(q, q) > last:
+            q = code.find(")", q + 1, until)
+        if q < 0:
+            return last + 1
+        if q not in ends or not re.search(r"@[\w.$]+\s*$", code[max(0, ends[q] - 100) : ends[q]]):
+            return q + 1  # the end of a call whose arguments hold braces
+        until = ends[q]
+
+
 def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
-    """(name, offset of the name, offset where the definition starts, opening brace, end of the body) of functions with a body."""
+    """(name, offset of the name, offset where the definition starts, opening brace, end of the body) of functions with a body.
+
+    Functions, methods of local and anonymous classes and of object literals count at any depth. In JavaScript a function
+    that only a variable or property names counts where no other function is around it but the wrapper of a module.
+    """
     plain = L.preprocess(text)[0] if language == "cpp" else text
     toks = L.tokens(language, plain)
     code = blanked(plain, toks)
     opened = frames(code)
+    ends = _parentheses(code)
     close, stack = {}, []
     for m in re.finditer(r"[{}]", code):
         if m.group() == "{":
@@ -96,25 +139,38 @@ def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
     out = []
     pos, rx = 0, _SIGNATURE[language]
     while m := rx.search(code, pos):
-        which = "" if m.groupdict().get("name") else "2" if language == "javascript" and m.group("name2") else "3"
-        name, at, brace = m.group("name" + which), m.start("name" + which), m.start("open" + which)
-        pos = m.start("open" + which) if name not in _NOT_NAMES else m.end("name" + which)
-        if name in _NOT_NAMES or brace not in close:
+        group = m.groupdict()
+        which = "" if group.get("name") else "2" if language == "javascript" and group["name2"] else "3"
+        name, at = m.group("name" + which), m.start("name" + which)
+        pos = m.end("name" + which)
+        if name in _NOT_NAMES:
+            continue
+        arrow = which == "2" and group["arrow"]
+        if which == "2" and group["open2"]:
+            brace = m.start("open2")
+        else:
+            end = ends.get(m.start("arrow" if arrow else "list" + ("" if language != "javascript" else which)))
+            body = end is not None and _BODY["arrow" if arrow else language].match(code, end + 1)
+            if not body:
+                continue
+            brace = body.start("open")
+        if brace not in close:
             continue
+        pos = brace
         frame = opened.get(brace)
         around, names = frame[2], frame[3]
         inside = around[-1] if around else "space"
         before = code[max(0, at - 300) : at]
-        start = max(code.rfind(c, 0, at) for c in ";{}") + 1
+        start = _statement(code, at, ends)
         head = code[start:at]
         if language == "java":
-            if inside != "type" or re.search(r"\bnew\s+[\w$.<>\s]*$|[=.]\s*$", before):
+            if inside != "type" and not _in_nameless_class(code, frame, opened, ends) or re.search(r"\bnew\s+[\w$.<>\s]*$|[=.,]\s*$", before):
                 continue
-            kinds = re.sub(r"@[\w.]+(?:\s*\([^()]*\))?", " ", head).split()
+            kinds = re.sub(r"@[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?", " ", head).split()
             if not [k for k in kinds if k not in ("public", "private", "protected")] or name == names[-1]:
                 continue  # a constructor
         elif language == "cpp":
-            if any(k == "other" for k in around):
+            if inside == "other":
                 continue
             label = re.search(r"(?:^|\s)(?:public|private|protected)\s*:(?!:)\s*", head)
             if label:
@@ -128,11 +184,10 @@ def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
             if not owner and not re.search(r"[\w>*&\]]\s*$", re.sub(r"\[\[.*?\]\]", " ", head, flags=re.S)):
                 continue  # no return type: a macro
         else:
-            if any(k == "other" for k in around) and not (which == "3" and around[-1] == "type"):
-                method = which in ("2", "3") and _in_object(code, frame)
-                if not method:
-                    continue
-            if which == "3" and (inside != "type" and not _in_object(code, frame)):
+            member = inside == "type" or _in_object(code, frame)
+            if which == "3" and not member:
+                continue
+            if which == "2" and not group["own"] and not (member and (inside == "type" or group["mark"] == ":")) and not _at_top(code, frame, opened, ends):
                 continue
             if name == "constructor" or re.search(r"\bnew\s*$|\.\s*$", before) and which == "3":
                 continue
@@ -142,12 +197,59 @@ def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def _in_nameless_class(code: str, frame: tuple, opened: dict[int, tuple], ends: dict[int, int]) -> bool:
+    """Whether the innermost brace around opens the body of a Java anonymous class or enum constant."""
+    if frame[4] < 0:
+        return False
+    at = len(code[: frame[4]].rstrip())
+    if code[:at].endswith(")"):
+        if at - 1 not in ends:
+            return False
+        at = len(code[: ends[at - 1]].rstrip())
+        if re.search(r"\bnew\s+(?:@[\w.]+\s+)*[\w$.]+\s*(?:<[^(){};]*>)?$", code[max(0, at - 300) : at]):
+            return True
+    outer = opened[frame[4]][4]
+    if outer < 0 or opened[outer][0] != "type":
+        return False
+    head = code[max(code.rfind(c, 0, outer) for c in ";{}") + 1 : outer]
+    return bool(re.search(r"\benum\s+[\w$]+", head) and re.search(r"[{,]\s*(?:@[\w.]+\s+)*[\w$]+$", code[max(0, at - 300) : at]))
+
+
 def _in_object(code: str, frame: tuple) -> bool:
-    """Whether the innermost brace around is that of an object literal at the top level."""
-    if sum(k == "other" for k in frame[2]) != 1 or frame[4] < 0:
+    """Whether the innermost brace around is that of an object literal."""
+    if frame[4] < 0 or frame[2][-1] != "other":
         return False
     before = code[max(0, frame[4] - 40) : frame[4]]
-    return bool(re.search(r"[=(:,]\s*$|\breturn\s*$|\bdefault\s*$", before)) and not re.search(r"\)\s*$|=>\s*$", before)
+    return bool(re.search(r"[=(:,\[?&|]\s*$|\breturn\s*$|\bdefault\s*$", before)) and not re.search(r"\)\s*$|=>\s*$|\bcase\b[^:;{}]*:\s*$|\bdefault\s*:\s*$", before)
+
+
+def _at_top(code: str, frame: tuple, opened: dict[int, tuple], ends: dict[int, int]) -> bool:
+    """Whether nothing but types and wrappers of the module is around: functions called on the spot, define's or a factory."""
+    at = frame[4]
+    while at >= 0:
+        if opened[at][0] == "other" and not _wraps(code, at, ends):
+            return False
+        at = opened[at][4]
+    return True
+
+
+def _wraps(code: str, brace: int, ends: dict[int, int]) -> bool:
+    lead = code[max(0, brace - 2000) : brace].rstrip()
+    arrow = lead.endswith("=>")
+    if arrow:
+        lead = lead[:-2].rstrip()
+    if not lead.endswith(")"):
+        return False
+    place = brace - len(code[max(0, brace - 2000) : brace]) + len(lead) - 1
+    if place not in ends:
+        return False
+    lead = code[max(0, ends[place] - 300) : ends[place]]
+    if not arrow:
+        lead, n = re.subn(r"\bfunction\s*\*?\s*[\w$]*\s*$", "", lead)
+        if not n:
+            return False
+    lead = re.sub(r"\basync\s*$", "", lead).rstrip()
+    return bool(re.search(r"(?:^|[^\w$)\]\s])\s*\($|(?:^|[;{}\n])\s*(?:[!+~-]|void)$|\bdefine\s*\([^(){};]*$|[)}]\s*\([^(){};]*,$", lead))
 
 
 def comment_lines(comment: str) -> list[str]:
