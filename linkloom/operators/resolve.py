@@ -79,15 +79,21 @@ def resolve(call_facts: DataFrame, symbol: DataFrame, language: str) -> DataFram
 
 
 def contains_match(call_facts: DataFrame, symbol: DataFrame, gram: int = 4) -> DataFrame:
-    """(callee, node_id): the first key that contains the callee, for callees of ``gram`` characters or more.
+    """(callee, node_id): the first key that contains the callee, of whatever length; empty callees name nothing and match none.
 
-    Keys and callees share the callee's first piece of ``gram`` characters, which makes the test an equi-join.
+    Keys and callees share the callee's first piece of ``gram`` characters, which makes the test an equi-join. A shorter
+    callee equals one of the pieces of its own length, of which only the first key that holds it can win.
     """
-    asked = call_facts.select("callee").distinct().where(F.length("callee") >= gram).withColumn("piece", F.substring("callee", 1, gram))
-    places = F.sequence(F.lit(1), F.greatest(F.length("key") - gram + 1, F.lit(1)))
-    offered = symbol.select("key", "node_id", "key_ord", F.explode(F.array_distinct(F.transform(places, lambda i: F.col("key").substr(i, F.lit(gram))))).alias("piece"))
-    hit = asked.join(offered, "piece").where(F.contains("key", "callee"))
-    return hit.groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
+    callees = call_facts.select("callee").distinct()
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.col("key").substr(i, F.lit(n)))
+    asked = callees.where(F.length("callee") >= gram).withColumn("piece", F.substring("callee", 1, gram))
+    offered = symbol.select("key", "node_id", "key_ord", F.explode(F.array_distinct(pieces(gram))).alias("piece"))
+    found = asked.join(offered, "piece").where(F.contains("key", "callee")).groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
+    if gram < 2:
+        return found
+    short = symbol.select("node_id", "key_ord", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, gram)]))).alias("callee"))
+    first = short.where("callee <> ''").groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
+    return found.unionByName(callees.where(F.length("callee") < gram).join(first, "callee"))
 
 
 def call_edges(resolved: DataFrame, symbol: DataFrame) -> DataFrame:
