@@ -3,7 +3,7 @@
 One pass lexes every file into a small feature row; a second adds up identifier character trigrams to one model per
 language (at most 3 x 32,768 counts, the only thing broadcast); a third scores each file under its language's model.
 
-* *minified*: long lines, little white space and names that the model finds mangled (high cross-entropy per character), or
+* *minified*: long lines and little white space, or next to none in lines of any length, and names that the model finds mangled (high cross-entropy per character), or
   that are nearly all a few characters long;
 * *generated*: a generator's notice in the comment above or below the code, or low diversity of line templates;
 * *vendored*: another owner's licence or import notice above the code, a directory named after a known outside package,
@@ -37,7 +37,8 @@ TEMPLATE_RATIO = 0.45  # the same, over the entropy that as many different lines
 SERIAL_RATIO = 0.65  # the same for a file whose members are numbered
 SERIAL_RUN = 6  # numbers 0, 1, 2, .. in its names from which a file's members are numbered
 DENSE_LINE = 150  # mean length of lines of code of a minified file
-DENSE_SPACE = 0.2  # greatest share of white space in it
+DENSE_SPACE = 0.2  # greatest share of white space in it, literals and comments apart
+TIGHT_SPACE = 0.045  # the same, below which lines may have any length; files of ten names or more
 MANGLED_BITS = 3.0  # cross-entropy per character of names above which they are mangled
 BRIEF_NAMES = 0.6  # share of names of three characters or less that tells mangling where few files trained the model
 MIN_PRINT = 40  # tokens that a file must have to count as copied
@@ -131,7 +132,17 @@ def describe(path: str | None, repo: str | None, content: bytes | None) -> tuple
     n = len(lines)
     bits = -sum(c / n * math.log2(c / n) for c in templates.values()) if n else 0.0
     span = sum(map(len, lines))
-    blank = sum(x.count(" ") + x.count("\t") for x in lines) if n else 0
+    # white space is counted outside literals and comments, as a blanked one would be all white
+    bare, at = [], 0
+    for k, a, b in toks:
+        if k in "cstux":
+            bare.append(text[at:a])
+            bare.append("\n" * text.count("\n", a, b) if k == "c" else '"')
+            at = b
+    bare.append(text[at:])
+    shown = [x for x in (y.strip() for y in "".join(bare).split("\n")) if x]
+    signs = sum(map(len, shown))
+    blank = sum(x.count(" ") + x.count("\t") for x in shown)
     prints = hashlib.md5(" ".join(text[a:b] for _, a, b in code).encode("utf-8", "surrogatepass")).hexdigest() if len(code) >= MIN_PRINT else None
     snake = sum("_" in w.strip("_") and not w.isupper() for w in names) / len(names) if names else 0.0
     brief = sum(len(w) <= 3 for w in names) / len(names) if names else 0.0
@@ -139,7 +150,7 @@ def describe(path: str | None, repo: str | None, content: bytes | None) -> tuple
     serial = next(i for i in range(len(numbers) + 1) if i not in numbers)
     dirs = [re.sub(r"[-_.@]?v?\d+(?:\.\d+)*$", "", x).lower() for x in (path or "").split("/")[1:-1]]
     grams, counts = _trigrams(names)
-    return path, repo, language, machine, owner, dirs, prints, literal / size if size else 0.0, n, bits, span / n if n else 0.0, blank / span if span else 0.0, len(names), brief, serial, snake, grams, counts
+    return path, repo, language, machine, owner, dirs, prints, literal / size if size else 0.0, n, bits, span / n if n else 0.0, blank / signs if signs else 0.0, len(names), brief, serial, snake, grams, counts
 
 
 def _describe_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +226,8 @@ def judged(files: DataFrame, packages: DataFrame) -> DataFrame:
     yes = lambda c: F.coalesce(c, F.lit(False))
     full = F.greatest(F.log2(F.col("lines").cast("double")), F.lit(1.0))
     template = (F.col("lines") >= MIN_LINES) & (F.col("bits") < TEMPLATE_BITS) & (((F.col("bits") / full < TEMPLATE_RATIO) & (F.col("lines") >= MANY_LINES)) | ((F.col("bits") / full < SERIAL_RATIO) & (F.col("serial") >= SERIAL_RUN))) & (F.col("literal") < DATA_SHARE)
-    dense = (F.col("mean_line") > DENSE_LINE) & (F.col("space") < DENSE_SPACE) & (F.col("literal") < DATA_SHARE)
+    tight = (F.col("space") < TIGHT_SPACE) & (F.col("names") >= 10)
+    dense = (((F.col("mean_line") > DENSE_LINE) & (F.col("space") < DENSE_SPACE)) | tight) & (F.col("literal") < DATA_SHARE)
     return every.groupBy("path").agg(
         F.max("repo").alias("repo"),
         F.max("language").alias("language"),
