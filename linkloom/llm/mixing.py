@@ -53,8 +53,8 @@ MIXED = ["position", "doc_id", "source", "use", "tokens"]
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(position, doc_id, source, use, tokens) sorted by position: every use of a text.
 
-    Texts that are equal count as one, the row with the smallest doc_id standing for them, so that no text is used more
-    often than its source allows; a text that several sources hold belongs to the source of that row. Null and empty texts
+    Texts that are equal count as one, the row with the smallest doc_id of those with a target source standing for them, so
+    that no text is used more often than its source allows; a text that several sources hold belongs to the source of that row. Null and empty texts
     and sources without a target take no part. ``use`` counts the uses of a text from 1.
     """
     parts = _uses(documents, targets, tokenizer)
@@ -62,7 +62,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None)
 
 
 def _uses(documents: DataFrame, targets: DataFrame, tokenizer: str | None) -> DataFrame:
-    sized = with_tokens(documents.select("doc_id", canonical("source").alias("source"), F.md5("text").alias("same"), "text"), path=tokenizer).where("tokens > 0")
+    wanted = targets.where("target_weight > 0 AND max_repeats > 0").select(canonical("source").alias("source")).distinct()
+    rows = documents.select("doc_id", canonical("source").alias("source"), F.md5("text").alias("same"), "text").join(F.broadcast(wanted), "source", "left_semi")
+    sized = with_tokens(rows, path=tokenizer).where("tokens > 0")
     texts = cut(sized.groupBy("same").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("x")).select("x.*"))
     planned = plan(texts.groupBy("source").agg(F.sum("tokens").alias("supply")), targets)
     rows = texts.join(F.broadcast(planned), "source")  # settings, one row a target source
