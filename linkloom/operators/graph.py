@@ -31,6 +31,12 @@ def flows(edges: DataFrame) -> DataFrame:
     return edge_rows(edges).where(F.col("type").isin(*FLOW_TYPES)).select(clean_func_id(F.col("src")).alias("src"), clean_func_id(F.col("dst")).alias("dst"), "type")
 
 
+def usable_vector(v: Column, width: int) -> Column:
+    """Whether an array has ``width`` finite numbers that are not all zero."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return (F.size(v) == width) & finite & F.exists(v, lambda x: x != 0)
+
+
 def functions(nodes: DataFrame, width: int = 64) -> DataFrame:
     """(id, clean, name, language, signature, file_path, summary, vector): one row a function id.
 
@@ -38,7 +44,7 @@ def functions(nodes: DataFrame, width: int = 64) -> DataFrame:
     numbers, not all zero, is null.
     """
     v = F.col("embedding")
-    good = (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    good = usable_vector(v, width)
     rows = nodes.where(F.col("type").isin(*FUNCTIONS)).withColumn("id", clean_id("id")).where("id is not null")
     text = lambda c: F.max(F.nullif(F.btrim(c, F.lit(" \t\r\n")), F.lit(""))).alias(c)
     one = rows.groupBy("id").agg(text("name"), F.max(F.lower(F.btrim("language", F.lit(" \t\r\n")))).alias("language"), text("signature"), text("file_path"), text("summary"), F.max(F.when(good, v)).alias("vector"))

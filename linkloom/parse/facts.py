@@ -32,8 +32,6 @@ _NOT_CALLS = frozenset("if for while switch catch return sizeof alignof decltype
 _MODIFIERS = frozenset("public private protected static final abstract native synchronized transient volatile strictfp default inline virtual explicit constexpr friend extern override async export".split())
 _IMPORT = re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", re.M)
 _INCLUDE = re.compile(r'^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]', re.M)
-_JS_FROM = re.compile(r"\bimport\b[^;'\"()]*?\bfrom\s*['\"]([^'\"]+)['\"]|\bexport\b[^;'\"()]*?\bfrom\s*['\"]([^'\"]+)['\"]")
-_JS_REQUIRE = re.compile(r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)")
 _JS_EXPORT = re.compile(r"\bexport\s+(\{[^}]*\}|[\w$*]+)")
 _DECLARED = re.compile(r"(?P<n>~?[A-Za-z_]\w*)\s*\((?P<p>[^(){};]*)\)\s*(?:const|noexcept|override|final|=\s*(?:0|default|delete)|\s)*;")
 _GLOBAL = re.compile(r"(?:^|[;}])\s*((?:(?:static|const|constexpr|extern|unsigned|signed|inline|volatile)\s+)*[A-Za-z_][\w:]*(?:<[^<>;(){}]*>)?[\s*&]+)([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?(?:=[^;]*)?(?=;)")
@@ -83,6 +81,19 @@ def _cut(text: str, n: int) -> str:
     return text[:n]
 
 
+def _modules(text: str, toks: list) -> list[str]:
+    """Modules that JavaScript tokens name: a string after ``from``, or alone between the parentheses of ``require``."""
+    said = [(k, text[a:b]) for k, a, b in toks if k != "c"]
+    found = []
+    for i, (kind, word) in enumerate(said):
+        if kind != "s" or word[0] not in "'\"" or not i:
+            continue
+        called = said[max(0, i - 2) : i] == [("w", "require"), ("p", "(")] and said[i + 1 : i + 2] == [("p", ")")]
+        if said[i - 1] == ("w", "from") or called:
+            found.append(word[1:-1])
+    return [x for x in found if x]
+
+
 def extract(path: str, content: bytes | None, dataflow: bool = True) -> list[dict]:
     """Fact rows of one file; no language, no rows."""
     language = L.language_of(path)
@@ -104,13 +115,11 @@ def extract(path: str, content: bytes | None, dataflow: bool = True) -> list[dic
 
 
 def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: bool) -> None:
-    plain = L.preprocess(text)[0] if language == "cpp" else text
-    toks = L.tokens(language, plain)
-    code = blanked(plain, toks)
+    unit = L.Unit(language, text)
+    toks, comments, starts = unit.tokens, unit.comments, unit.starts
+    code = blanked(unit.plain, toks)
     opened = frames(code)
-    starts = [0] + [m.end() for m in re.finditer("\n", text)]
     line = lambda at: bisect_right(starts, at)
-    comments = [t for t in L.tokens(language, text) if t[0] == "c"]
     sep = "::" if language == "cpp" else "."
     base: list[str] = []
     if language == "java":
@@ -125,9 +134,7 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
             add("edge", source_id=file_id, target_id=f"Module:{m.group(1)}", type="IMPORT", detail=m.group(1))
     else:
         base = [re.sub(r"\.[^.]*$", "", path.rpartition("/")[2])]
-        found = [(m.start(), m.group(1) or m.group(2)) for m in _JS_FROM.finditer(text)] + [(m.start(), m.group(1)) for m in _JS_REQUIRE.finditer(text)]
-        blank = {a for k, a, b in toks if k == "c" for a in range(a, b)} if found else set()
-        for i, (at, name) in enumerate(sorted(f for f in found if f[0] not in blank)):
+        for i, name in enumerate(_modules(text, toks)):
             add("import", target_id=name, position=i)
             add("edge", source_id=file_id, target_id=f"Module:{name}", type="IMPORT", detail=name)
         for m in _JS_EXPORT.finditer(code):
@@ -154,8 +161,8 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
         add("edge", source_id=owner, target_id=ids[at], type="CONTAINS")
     # functions
     seen: set[str] = set()
-    spans: list[tuple[int, int]] = []
-    for name, at, first, brace, end in functions(language, text):
+    spans: list[tuple[int, int, str]] = []
+    for name, at, first, brace, end in functions(language, text, unit):
         _, _, kinds, names, _ = opened[brace]
         owners = [n for n in names if n]
         in_type = bool(kinds) and kinds[-1] == "type"
@@ -164,7 +171,7 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
             in_type = True
         full = sep.join([*base, *owners, name.lstrip("#")])
         node = ("Method" if language == "java" or in_type else "Function") + ":" + full
-        spans.append((first, end))
+        spans.append((first, end, node))
         add("symbol", key=full, id=node)
         if full in seen:
             continue  # the first of overloads stands
@@ -198,7 +205,7 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
         return
     # members that are only declared, and globals
     masked = list(code)
-    for a, b in spans:
+    for a, b, _ in spans:
         masked[a:b] = [c if c == "\n" else " " for c in masked[a:b]]
     outside = "".join(masked)
     for at, owner in ids.items():
@@ -210,6 +217,7 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
             add("node", id=f"Method:{full}", type="Method", name=m.group("n"), signature=_cut(" ".join(m.group().split())[:-1].strip(), 120) + ";", start_line=line(m.start()), end_line=line(m.end() - 1), detail="declared_only")
             add("edge", source_id=owner, target_id=f"Method:{full}", type="CONTAINS", detail="method")
     if dataflow:
+        held: dict[str, str] = {}
         for at in ids:
             outside = outside[:at] + re.sub(r"[^\n]", " ", outside[at : close.get(at, at) + 1]) + outside[close.get(at, at) + 1 :]
         for m in _GLOBAL.finditer(re.sub(r"\bnamespace\s+[\w:]*\s*\{", lambda x: ";" + " " * (len(x.group()) - 1), outside)):
@@ -218,7 +226,12 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
                 continue
             gid = f"GlobalVar:{path}:{m.group(2)}"
             add("node", id=gid, type="GlobalVariable", name=m.group(2), data_type=kind, start_line=line(m.start(2)), end_line=line(m.start(2)))
-            add("global", key=m.group(2), id=gid, code=text)
+            held[m.group(2)] = gid
+        for a, b, node in spans if held else ():
+            body = code[a:b]
+            for name in sorted(held.keys() & set(_WORD.findall(body))):
+                writes = re.search(rf"\b{name}\s*=[^=]", body)
+                add("edge", source_id=node, target_id=held[name], type="WRITES" if writes else "READS")
 
 
 def facts(files: DataFrame, dataflow: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ literal or comment.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 #: Suffix to language.
 SUFFIXES = {
@@ -283,3 +284,24 @@ _SKIP = re.compile(r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|(?P<dir>^[ \t]*#[ \t]*(?P<na
 
 def tokens(language: str, text: str) -> list[Token]:
     return LEXERS[language](text)
+
+
+class Unit:
+    """A file that is decoded, preprocessed and lexed once for everything that reads it.
+
+    plain: the text as the compiler sees it (C++ after its conditional lines, positions kept), odd: what is wrong with these
+    lines, tokens: of ``plain``, comments: those of the tokens that are comments, starts: where the lines start.
+    """
+
+    def __init__(self, language: str, text: str) -> None:
+        self.language, self.text = language, text
+        self.plain, self.odd = preprocess(text) if language == "cpp" else (text, [])
+        self.tokens = tokens(language, self.plain)
+
+    @cached_property
+    def comments(self) -> list[Token]:
+        return [t for t in self.tokens if t[0] == "c"]
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return [0] + [m.end() for m in re.finditer("\n", self.text)]

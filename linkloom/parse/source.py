@@ -48,7 +48,7 @@ def blanked(text: str, toks: list) -> str:
             elif k == "t" and piece[0] == "}":
                 out.append("}" + re.sub(r"[^\r\n]", " ", piece[1:]))
             else:
-                out.append(re.sub(r"[^\r\n]", " ", piece))
+                out.append(re.sub(r"[^\r\n]", " ", piece) if "\n" in piece or "\r" in piece else " " * (b - a))
             at = b
     out.append(text[at:])
     return "".join(out)
@@ -119,15 +119,15 @@ def _statement(code: str, at: int, ends: dict[int, int]) -> int:
         until = ends[q]
 
 
-def functions(language: str, text: str) -> list[tuple[str, int, int, int, int]]:
+def functions(language: str, text: str, unit: L.Unit | None = None) -> list[tuple[str, int, int, int, int]]:
     """(name, offset of the name, offset where the definition starts, opening brace, end of the body) of functions with a body.
 
     Functions, methods of local and anonymous classes and of object literals count at any depth. In JavaScript a function
     that only a variable or property names counts where no other function is around it but the wrapper of a module.
+    unit: the lexed text, where there is one already.
     """
-    plain = L.preprocess(text)[0] if language == "cpp" else text
-    toks = L.tokens(language, plain)
-    code = blanked(plain, toks)
+    unit = unit or L.Unit(language, text)
+    code = blanked(unit.plain, unit.tokens)
     opened = frames(code)
     ends = _parentheses(code)
     close, stack = {}, []

@@ -36,13 +36,8 @@ def call_edges(rows: DataFrame) -> DataFrame:
 
 
 def global_access(rows: DataFrame) -> DataFrame:
-    """(source_id, target_id, type): C++ functions and the globals of their file whose name occurs in the file outside its
-    definition; WRITES where an assignment to the name does."""
-    globals_ = rows.where("kind = 'global'").select("path", F.col("key").alias("variable"), F.col("id").alias("target_id"))
-    held = rows.where("kind = 'node' and language = 'cpp' and type in ('Function', 'Method') and code is not null").select("path", F.col("id").alias("source_id"), "code")
-    both = held.join(globals_, "path").where(F.contains("code", "variable"))
-    write = F.expr(r"regexp_like(code, concat('\\b', variable, '\\s*=[^=]'))")
-    return both.select("source_id", "target_id", F.when(write, "WRITES").otherwise("READS").alias("type")).distinct()
+    """(source_id, target_id, type): C++ functions and the globals of their file that they name; WRITES where they assign one."""
+    return rows.where("kind = 'edge' and type in ('READS', 'WRITES')").select("source_id", "target_id", "type").distinct()
 
 
 def build(files: DataFrame, dataflow: bool = True) -> dict[str, DataFrame]:
@@ -59,7 +54,7 @@ def build(files: DataFrame, dataflow: bool = True) -> dict[str, DataFrame]:
         shaped = nodes.withColumn("raw_attributes", F.create_map(F.lit("position"), F.col("position").cast("string")))
         passes = graph.parameter_flow(closed, shaped).select("source_id", "target_id", F.lit("PASSES_TO").alias("type"), F.col("place").alias("position"), F.col("call_edge_id").alias("detail"))
         gives = graph.return_flow(closed, shaped).select("source_id", "target_id", F.lit("RETURNS_TO").alias("type"), F.col("call_edge_id").alias("detail"))
-        edges = edges.unionByName(passes, allowMissingColumns=True).unionByName(gives, allowMissingColumns=True).unionByName(global_access(rows), allowMissingColumns=True)
+        edges = edges.unionByName(passes, allowMissingColumns=True).unionByName(gives, allowMissingColumns=True)
         variables = graph.return_variables(closed, shaped).withColumn("type", F.lit("Variable")).withColumn("name", F.lit("return_value"))
         nodes = nodes.unionByName(variables, allowMissingColumns=True)
     functions = nodes.where(F.col("type").isin(*graph.FUNCTIONS))

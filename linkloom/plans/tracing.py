@@ -324,7 +324,7 @@ def _strip(x: str) -> str:
 
 _T = lambda c: f"max(nullif(trim({c}, {SP}), '')) AS {c}"
 FN = f"""fn0 AS (SELECT trim(id, {SP}) AS id, {_T('name')}, max(lower(trim(language, {SP}))) AS language, {_T('signature')}, {_T('file_path')}, {_T('summary')},
-  max(CAST(embedding AS DOUBLE[])) FILTER (WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0) AS vector
+  max(CAST(embedding AS DOUBLE[])) FILTER (WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0) AS vector
   FROM graph_node WHERE type IN ('Function', 'Method') AND trim(id, {SP}) <> '' GROUP BY 1), fn AS (SELECT *, {_clean('id')} AS clean FROM fn0)"""
 ER = f"""er AS (SELECT edge_id, trim(source_id, {SP}) AS src, trim(target_id, {SP}) AS dst, upper(trim(type, {SP})) AS type FROM graph_edge WHERE trim(source_id, {SP}) <> '' AND trim(target_id, {SP}) <> '')"""
 CL = f"{ER}, cl AS (SELECT {_clean('src')} AS src, {_clean('dst')} AS dst, min(edge_id) AS ord FROM er WHERE type = 'CALLS' GROUP BY ALL)"
@@ -491,7 +491,7 @@ SQL = {
     "resolve_javascript": _resolve_sql("javascript", "."),
     "resolve_cpp": _resolve_sql("cpp", "::"),
     "resolve_contains": f"""WITH {FN}, {CL}, sym AS (SELECT clean AS key, min(id) AS key_ord, max(id) AS node_id FROM fn GROUP BY ALL), fa AS (SELECT DISTINCT regexp_split_to_array(dst, '::|\\.')[-1] AS callee FROM cl)
- SELECT callee, arg_min(node_id, key_ord) AS node_id FROM fa, sym WHERE length(callee) >= 4 AND contains(key, callee) GROUP BY ALL""",
+ SELECT callee, arg_min(node_id, key_ord) AS node_id FROM fa, sym WHERE callee <> '' AND contains(key, callee) GROUP BY ALL""",
     "call_edge_dedup": f"WITH {CL} SELECT * FROM cl",
     "edge_node_inner": f"WITH {ER}, {ND}, {CC} SELECT * FROM cc",
     "param_positional_join": f"WITH {ER}, {ND}, {CC}, {PA}, {PF} SELECT source_id, target_id, place, src || '->' || dst AS call_edge_id FROM pf",

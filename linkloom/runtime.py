@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,19 +18,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; choose one only where that is unset (tests, one machine)."""
+    """Use the folder of ``spark.checkpoint.dir``. Where that is unset a folder of this machine serves a local master only:
+    on a cluster each executor would write to its own disk, so that is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "linkloom-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there: lineage ends, lost executors are survived."""
+    """Write ``df`` to the shared checkpoint folder and go on from there: lineage ends, lost executors are survived.
+
+    Files of checkpoints that nothing refers to any more go with the cleaner where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, and all of them when the driver ends.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    _remove_at_end(df.sparkSession, df.sparkSession.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
+_REMOVED: set[str] = set()
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote, once, when the driver ends; one that has gone already is no error."""
+    if path in _REMOVED:
+        return
+    _REMOVED.add(path)
+
+    def remove() -> None:
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended already
+            pass
+
+    atexit.register(remove)
+
+
 def clean_id(col: Column | str) -> Column:
     """The id without white space at its ends; null where nothing is left."""
     c = F.col(col) if isinstance(col, str) else col
@@ -48,21 +77,9 @@ def keep(df: DataFrame) -> DataFrame:
 
     The table is removed when the driver ends.
     """
-    import atexit
-    import uuid
-
     ensure_checkpoint_dir(df.sparkSession)
     spark = df.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/kept-{uuid.uuid4()}"
     df.write.parquet(path)
-
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session has ended already
-            pass
-
-    atexit.register(remove)
+    _remove_at_end(spark, path)
     return spark.read.parquet(path)
