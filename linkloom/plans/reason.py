@@ -58,17 +58,14 @@ def judge_inputs(kept: DataFrame, chunks: DataFrame, functions: DataFrame) -> Da
     return rows.select(*key, "requirement", "semantic_summary", "key_nodes", F.coalesce("node_details", F.array().cast("array<string>")).alias("node_details"))
 
 
-def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, vectors: DataFrame | None = None,
-             chunks: DataFrame | None = None, judge: Judge | None = None, embedder: Embedder | None = None) -> DataFrame:
+def evidence(leaders: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, vectors: DataFrame, chunks: DataFrame | None = None, judge: Judge | None = None, embedder: Embedder | None = None) -> DataFrame:
     """Scored chains of the leading candidates: chain, semantic_summary, similarity, judged, prior, posterior and what led there.
 
     The similarity of a chain is the mean over all of its nodes of their similarity to the candidate's best chunk, whose
-    vector is in ``vectors``; a node that is not in ``functions`` counts as 0. Without vectors only nodes among the chunk's
-    ``hits`` have a similarity, as in the SQL twins of the queries. With an ``embedder`` it blends in that of the summary.
-    judge: gives ``scores``, the struct of ``text.parse_reply``, to each row of ``judge_inputs``, such as ``providers.judge``
-    with a model; it sees a chain only after equal summaries are gone and the cap of its mode is applied, and its
-    requirements come from ``chunks`` (doc_id, chunk_index, text). Without a judge, judgments: (doc_id, rank, ord, scores)
-    given for each chain, or (doc_id, rank, scores) for all chains of a candidate. What has no scores gets the neutral ones.
+    vector is in ``vectors``; a node that is not in ``functions`` counts as 0. With an ``embedder`` it blends in that of the
+    summary. judge: gives ``scores``, the struct of ``text.parse_reply``, to rows of ``judge_inputs``, such as
+    ``providers.judge`` with a model; it sees a chain only after equal summaries are gone and the cap of its mode is applied,
+    and its requirements come from ``chunks`` (doc_id, chunk_index, text). What has no scores gets the neutral ones.
     """
     key = ["doc_id", "rank", "ord"]
     found = chains.walks(leaders.select("doc_id", "rank", "fn", "mode", "best_chunk_index"), call)
@@ -76,18 +73,16 @@ def evidence(leaders: DataFrame, hits: DataFrame, functions: DataFrame, call: Da
     # judged chains are read by several joins and by the judge: they are written once, so that no model is asked twice
     kept = cut(chains.capped(chains.distinct_summaries(told, ["doc_id", "rank"], ["ord"]), ["doc_id", "rank"]))
     nodes = kept.select(*key, "best_chunk_index", F.explode("chain").alias("__node")).withColumn("__fn", text.clean_func_id(F.col("__node")))
-    if vectors is not None:
-        hits = node_similarities(nodes.select("doc_id", F.col("best_chunk_index").alias("chunk_index"), F.col("__fn").alias("fn")), vectors, functions, embedder)
-    near = hits.select("doc_id", F.col("chunk_index").alias("best_chunk_index"), F.col("fn").alias("__fn"), F.col("similarity").alias("__sim")).groupBy("doc_id", "best_chunk_index", "__fn").agg(F.max("__sim").alias("__sim"))
+    met = node_similarities(nodes.select("doc_id", F.col("best_chunk_index").alias("chunk_index"), F.col("__fn").alias("fn")), vectors, functions, embedder)
+    near = met.select("doc_id", F.col("chunk_index").alias("best_chunk_index"), F.col("fn").alias("__fn"), F.col("similarity").alias("__sim"))
     means = nodes.join(near, ["doc_id", "best_chunk_index", "__fn"], "left").groupBy(*key).agg(F.avg(F.coalesce("__sim", F.lit(0.0))).alias("similarity"))
     shape = chains.structure(kept, call, flow, graph.degrees(call), key)
     rows = kept.join(means, key).join(shape, key)
-    if judge is not None:
-        judgments = cut(judge(judge_inputs(kept, chunks, functions)).select(*key, "scores"))
-    if judgments is not None:
-        rows = rows.join(judgments, [k for k in key if k in judgments.columns], "left").withColumn("scores", F.coalesce("scores", text.neutral_scores()))
-    else:
+    if judge is None:
         rows = rows.withColumn("scores", text.neutral_scores())
+    else:
+        judgments = cut(judge(judge_inputs(kept, chunks, functions)).select(*key, "scores"))
+        rows = rows.join(judgments, key, "left").withColumn("scores", F.coalesce("scores", text.neutral_scores()))
     length = F.size("chain")
     rows = rows.withColumn("judged", F.col("scores.overall"))
     rows = rows.withColumn("prior", scoring.prior(length, F.col("similarity"), F.col("judged"), F.col("central")))
@@ -117,12 +112,10 @@ def report(chosen: DataFrame, first_chunks: DataFrame) -> DataFrame:
     return rows.select("doc_id", body.alias("report"))
 
 
-def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, judgments: DataFrame | None = None, gate: float = scoring.GATE, all_nodes: bool = True,
-           judge: Judge | None = None, embedder: Embedder | None = None) -> DataFrame:
+def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, call: DataFrame, flow: DataFrame, gate: float = scoring.GATE, judge: Judge | None = None, embedder: Embedder | None = None) -> DataFrame:
     """The result of each requirement: counts, the chosen chain with its scores and report, and up to three alternatives.
 
     vectors: (doc_id, chunk_index, vector) of an embedder. Documents without candidate or chain come out with empty fields.
-    all_nodes: whether every node of a chain is compared with the chunk, or as in the SQL twin only those among its hits.
     judge: asked for each chain, see ``evidence``. embedder: gives ``embedding`` to rows by a column of texts, as
     ``providers.embed`` with the model of ``vectors``; without one summaries have no similarity.
     """
@@ -131,7 +124,7 @@ def reason(requirements: DataFrame, vectors: DataFrame, functions: DataFrame, ca
     hits = cut(retrieve.gated(with_summary_similarity(hits, vectors, functions, embedder), gate))
     found = retrieve.candidates(hits)
     leaders = retrieve.leading(found)
-    rows = evidence(leaders, hits, functions, call, flow, judgments, vectors if all_nodes else None, parts, judge, embedder)
+    rows = evidence(leaders, functions, call, flow, vectors, parts, judge, embedder)
     chosen = cut(chains.choose(merged(rows)))
     best = chosen.where("place = 1").select("doc_id", F.array_join("chain", "->").alias("chain"), "semantic_summary", "posterior", F.col("judged").alias("summary_score"), F.col("reason").alias("selection_reason"))
     others = chosen.where("place between 2 and 4").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", "->").alias("chain")))), lambda x: x["chain"]).alias("alternatives"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import scoring, text
 from ..operators import chains, graph, resolve, retrieve
@@ -41,17 +41,25 @@ def _vectors(spark, d):
     return asked.join(known, "probe_no").select("doc_id", "chunk_index", "vector")
 
 
-def _judgments(spark, d):
-    """Replies of a document in order of their ids judge its candidates in order of rank."""
-    from pyspark.sql import Window as W
+def _embedder(spark, d):
+    """In place of an embedder's: the vector of the probe with number (length of the text) mod probes + 1."""
+    probes = table(spark, d, "knn_probe")
+    n = probes.agg(F.count(F.lit(1))).scalar()
+    known = probes.select(F.col("probe_no").alias("__probe"), clean_id("node_id").alias("id")).join(_functions(spark, d).select("id", F.col("vector").alias("embedding")), "id").drop("id")
+    return lambda rows, column: rows.withColumn("__probe", F.length(column) % n + 1).join(known, "__probe", "left").drop("__probe")
 
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("reply_id"))
-    return table(spark, d, "llm_reply").select("doc_id", rank.alias("rank"), text.parse_reply(F.col("reply")).alias("scores"))
+
+def _judge(spark, d):
+    """Replies of a document in order of their ids judge its chains in order of rank and discovery."""
+    turn = lambda *order: F.row_number().over(W.partitionBy("doc_id").orderBy(*order)).alias("turn")
+    replies = table(spark, d, "llm_reply").select("doc_id", turn("reply_id"), text.parse_reply(F.col("reply")).alias("scores"))
+    return lambda rows: rows.select("doc_id", "rank", "ord", turn("rank", "ord")).join(replies, ["doc_id", "turn"]).drop("turn")
 
 
 def _hits(spark, d):
-    found = retrieve.top_products(_vectors(spark, d), _functions(spark, d))
-    return cut(retrieve.gated(found.withColumn("summary_similarity", F.lit(0.0))))
+    vectors, known = _vectors(spark, d), _functions(spark, d)
+    found = retrieve.top_products(vectors, known)
+    return cut(retrieve.gated(plan.with_summary_similarity(found, vectors, known, _embedder(spark, d))))
 
 
 def _leaders(spark, d):
@@ -60,7 +68,9 @@ def _leaders(spark, d):
 
 def _evidence(spark, d):
     hits = _hits(spark, d)
-    return plan.evidence(retrieve.leading(retrieve.candidates(hits)), hits, _functions(spark, d), _calls(spark, d), _flow(spark, d), _judgments(spark, d))
+    leaders = retrieve.leading(retrieve.candidates(hits))
+    chunks = plan.requirement_chunks(table(spark, d, "requirement_text"))
+    return plan.evidence(leaders, _functions(spark, d), _calls(spark, d), _flow(spark, d), _vectors(spark, d), chunks, _judge(spark, d), _embedder(spark, d))
 
 
 def _joined(c):
@@ -255,7 +265,7 @@ def run_statistics(spark, d):
 
 
 def trace_result(spark, d):
-    return plan.reason(table(spark, d, "requirement_text"), _vectors(spark, d), _functions(spark, d), _calls(spark, d), _flow(spark, d), _judgments(spark, d), all_nodes=False)
+    return plan.reason(table(spark, d, "requirement_text"), _vectors(spark, d), _functions(spark, d), _calls(spark, d), _flow(spark, d), judge=_judge(spark, d), embedder=_embedder(spark, d))
 
 
 def beta_likelihoods(spark, d):
@@ -366,7 +376,12 @@ QV = f"""qv AS (SELECT ch.doc_id, ch.chunk_index, fn.vector FROM ch JOIN (SELECT
  JOIN fn ON fn.id = p.nid WHERE fn.vector IS NOT NULL)"""
 TK = f"""{QV}, tk AS (SELECT * FROM (SELECT q.doc_id, q.chunk_index, f.clean AS fn, list_cosine_similarity(q.vector, f.vector) AS sim,
  row_number() OVER (PARTITION BY q.doc_id, q.chunk_index ORDER BY list_inner_product(q.vector, f.vector) DESC, f.clean) AS place FROM qv q, fn f WHERE f.vector IS NOT NULL) WHERE place <= 5)"""
-HT = "ht AS (SELECT doc_id, chunk_index, fn, place, least(1.0, greatest(0.0, sim)) AS similarity, printf('Vector DB:%.3f', round(sim + 1e-9, 3)) AS detail FROM tk WHERE least(1.0, sim) > 0.5)"
+#: Vectors of summaries (sv) and what a function's vector and summary have in common with a chunk.
+SV = f"""sm AS (SELECT clean, max(summary) AS summary FROM fn WHERE summary IS NOT NULL GROUP BY clean), sv AS (SELECT sm.clean, f.vector FROM sm JOIN (SELECT *, trim(node_id, {SP}) AS nid FROM knn_probe) p
+ ON p.probe_no = length(sm.summary) % (SELECT count(*) FROM knn_probe) + 1 JOIN fn f ON f.id = p.nid WHERE f.vector IS NOT NULL)"""
+_BLEND = "least(1.0, greatest(0.0, CASE WHEN v > 0 AND s > 0 THEN 0.6 * v + 0.4 * s WHEN v > 0 THEN v WHEN s > 0 THEN s ELSE 0.0 END))"
+HT = f"""{SV}, h0 AS (SELECT tk.*, tk.sim AS v, coalesce(list_cosine_similarity(qv.vector, sv.vector), 0.0) AS s FROM tk JOIN qv USING (doc_id, chunk_index) LEFT JOIN sv ON sv.clean = tk.fn),
+ ht AS (SELECT doc_id, chunk_index, fn, place, {_BLEND} AS similarity, concat_ws(', ', CASE WHEN v > 0 THEN printf('vector %.3f', round(v + 1e-9, 3)) END, CASE WHEN s > 0 THEN printf('summary %.3f', round(s + 1e-9, 3)) END) AS detail FROM h0 WHERE {_BLEND} > 0.5)"""
 CA = """ca AS (SELECT doc_id, fn, sum(similarity) AS total_score, count(*) AS chunk_count, max(similarity) AS best_similarity, arg_min(chunk_index, {'a': -similarity, 'b': chunk_index, 'c': place}) AS best_chunk_index,
  arg_min(detail, {'a': -similarity, 'b': chunk_index, 'c': place}) AS best_detail, min({'a': chunk_index, 'b': place}) AS first_seen FROM ht GROUP BY ALL)"""
 LE = """l0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(total_score, 9) DESC, first_seen) AS rank FROM ca),
@@ -408,24 +423,28 @@ def _posterior(prior: str, sim: str, structure: str, p: str = "") -> str:
     return f"""least(1.0, greatest(0.0, {prior} * ({B62(p + 'overall')} * {B33(sim)} * {B33(structure)} * 0.6 + {dims} * 0.4) * CASE WHEN {p}uncertainty > 0.1 THEN 1 - {p}uncertainty * 0.3 ELSE 1 END))"""
 
 
-EV = f"""jd AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY reply_id) AS rank, overall, semantic, completeness, dataflow, rationality, reason FROM (SELECT r.reply_id, r.doc_id, overall, semantic, completeness, dataflow, rationality, reason FROM llm_reply r LEFT JOIN sc USING (reply_id))),
+EV = f"""jd AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY reply_id) AS turn, overall, semantic, completeness, dataflow, rationality, reason FROM (SELECT r.reply_id, r.doc_id, overall, semantic, completeness, dataflow, rationality, reason FROM llm_reply r LEFT JOIN sc USING (reply_id))),
+ tn AS (SELECT doc_id, rank, ord, row_number() OVER (PARTITION BY doc_id ORDER BY rank, ord) AS turn FROM cp),
  nn AS (SELECT doc_id, rank, ord, best_chunk_index, len(chain) AS n, unnest(chain) AS node, unnest(range(0, len(chain))) AS i FROM cp),
- ms AS (SELECT nn.doc_id, rank, ord, avg(coalesce(sim, 0.0)) AS similarity FROM nn LEFT JOIN (SELECT doc_id, chunk_index, fn, max(similarity) AS sim FROM ht GROUP BY ALL) h ON h.doc_id = nn.doc_id AND h.chunk_index = nn.best_chunk_index AND h.fn = {_clean('nn.node')} GROUP BY ALL),
+ n0 AS (SELECT d.*, coalesce(list_cosine_similarity(qv.vector, f.vector), 0.0) AS v, coalesce(list_cosine_similarity(qv.vector, sv.vector), 0.0) AS s
+  FROM (SELECT DISTINCT doc_id, best_chunk_index AS chunk_index, {_clean('node')} AS fn FROM nn) d JOIN qv USING (doc_id, chunk_index) JOIN fn f ON f.clean = d.fn LEFT JOIN sv ON sv.clean = d.fn),
+ nv AS (SELECT doc_id, chunk_index, fn, max({_BLEND}) AS sim FROM n0 GROUP BY ALL),
+ ms AS (SELECT nn.doc_id, rank, ord, avg(coalesce(sim, 0.0)) AS similarity FROM nn LEFT JOIN nv h ON h.doc_id = nn.doc_id AND h.chunk_index = nn.best_chunk_index AND h.fn = {_clean('nn.node')} GROUP BY ALL),
  tp AS (SELECT doc_id, rank, ord, max(coalesce(centrality, 0.0)) AS hi, avg(coalesce(centrality, 0.0)) AS av, count_if(i > 0 AND i < n - 1 AND coalesce(in_degree, 0) > 0 AND coalesce(out_degree, 0) > 0) AS inner_n, count_if(coalesce(centrality, 0.0) >= 0.7) AS central FROM nn LEFT JOIN dg ON dg.fn = {_clean('nn.node')} GROUP BY ALL),
  pp AS (SELECT doc_id, rank, ord, len(chain) AS n, unnest(list_transform(range(1, len(chain)), lambda i: {_clean('chain[i]')})) AS src, unnest(list_transform(range(1, len(chain)), lambda i: {_clean('chain[i + 1]')})) AS dst FROM cp),
  mt AS (SELECT doc_id, rank, ord, max(n) AS n, sum(coalesce(f, 0)) AS f, sum(coalesce(pr, 0)) AS pr, sum(coalesce(c, 0)) AS c FROM pp LEFT JOIN (SELECT src, dst, count(*) AS f, 2 * count(*) AS pr FROM fl GROUP BY ALL) USING (src, dst) LEFT JOIN (SELECT src, dst, 1 AS c FROM cl) USING (src, dst) GROUP BY ALL),
  st AS (SELECT mt.doc_id, mt.rank, mt.ord, inner_n, central, least(1.0, (f / (n - 1) * 0.6 + pr / (n - 1) * 0.4) * 0.4 + (c / (n - 1) * 0.7 + CASE WHEN n >= 3 THEN least((n - 2) * 0.1, 0.2) ELSE 0 END * 0.3) * 0.3 + least((hi * 0.4 + av * 0.3 + least(inner_n * 0.1, 0.3) / 0.3 * 0.3) * 0.3, 0.3)) AS s0 FROM mt JOIN tp USING (doc_id, rank, ord)),
  e0 AS (SELECT cp.*, similarity, CAST(central AS BIGINT) AS central, CASE WHEN (SELECT count(*) FROM fl) > 0 THEN s0 END AS structure, coalesce(jd.overall, 0.5) AS overall, coalesce(jd.semantic, 0.5) AS semantic, coalesce(jd.completeness, 0.5) AS completeness,
-  coalesce(jd.dataflow, 0.5) AS dataflow, coalesce(jd.rationality, 0.5) AS rationality, CASE WHEN jd.overall IS NULL THEN 0.3 ELSE 0.1 END AS uncertainty, coalesce(jd.reason, 'No judgment available') AS llm_reason, len(chain) AS n FROM cp JOIN ms USING (doc_id, rank, ord) JOIN st USING (doc_id, rank, ord) LEFT JOIN jd ON jd.doc_id = cp.doc_id AND jd.rank = cp.rank),
+  coalesce(jd.dataflow, 0.5) AS dataflow, coalesce(jd.rationality, 0.5) AS rationality, CASE WHEN jd.overall IS NULL THEN 0.3 ELSE 0.1 END AS uncertainty, coalesce(jd.reason, 'No judgment available') AS llm_reason, len(chain) AS n FROM cp JOIN ms USING (doc_id, rank, ord) JOIN st USING (doc_id, rank, ord) JOIN tn USING (doc_id, rank, ord) LEFT JOIN jd ON jd.doc_id = cp.doc_id AND jd.turn = tn.turn),
  e1 AS (SELECT *, {_prior('n', 'similarity', 'overall', 'central')} AS prior FROM (SELECT * FROM e0)),
  ev AS (SELECT *, {_posterior('prior', 'similarity', 'coalesce(structure, least(1.0, n / 8))')} AS posterior, overall AS judged FROM e1)"""
 CS = """mg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, md5(semantic_summary) ORDER BY rank, ord) AS k3 FROM ev) WHERE k3 = 1),
  q0 AS (SELECT *, posterior >= 0.4 AND judged >= 0.6 AND n >= 2 AS ok FROM mg), q1 AS (SELECT *, max(ok) OVER (PARTITION BY doc_id) AS any_ok FROM q0),
  q2 AS (SELECT *, round(least(n, 4) / 4 * 0.4 + posterior * 0.3 + judged * 0.2 + similarity * 0.1, 12) AS choice FROM q1 WHERE ok OR NOT any_ok),
  q3 AS (SELECT *, row_number() OVER w AS place, lead(posterior) OVER w AS np, lead(n) OVER w AS nl FROM q2 WINDOW w AS (PARTITION BY doc_id ORDER BY choice DESC, round(posterior, 12) DESC, rank, ord)),
- cs AS (SELECT *, array_to_string(list_filter([CASE WHEN n >= 4 THEN printf('Long chain (%d functions), likely to be complete', n) WHEN n >= 3 THEN printf('Moderate chain (%d functions)', n) ELSE printf('Short chain (%d functions) with high scores otherwise', n) END,
-  CASE WHEN posterior >= 0.7 THEN printf('high posterior (%.3f)', round(posterior + 1e-9, 3)) WHEN posterior >= 0.5 THEN printf('medium posterior (%.3f)', round(posterior + 1e-9, 3)) END, CASE WHEN judged >= 0.8 THEN printf('high judged score (%.3f)', round(judged + 1e-9, 3)) WHEN judged >= 0.6 THEN printf('medium judged score (%.3f)', round(judged + 1e-9, 3)) END,
-  CASE WHEN posterior > np + 0.1 THEN printf('posterior well above second place (%.3f)', round(np + 1e-9, 3)) END, CASE WHEN n > nl THEN printf('longer than second place (%d functions)', nl) END], lambda x: x IS NOT NULL), '; ') AS reason,
+ cs AS (SELECT *, concat_ws('; ', printf('length %d is ', n) || CASE WHEN n >= 4 THEN 'full' WHEN n >= 3 THEN 'medium' ELSE 'short' END,
+  printf('posterior %.3f is ', round(posterior + 1e-9, 3)) || CASE WHEN posterior >= 0.7 THEN 'strong' WHEN posterior >= 0.5 THEN 'fair' END, printf('judged %.3f is ', round(judged + 1e-9, 3)) || CASE WHEN judged >= 0.8 THEN 'strong' WHEN judged >= 0.6 THEN 'fair' END,
+  CASE WHEN posterior - np > 0.1 THEN printf('posterior leads by %.3f', round(posterior - np + 1e-9, 3)) END, CASE WHEN n > nl THEN printf('nodes more than the next: %d', n - nl) END) AS reason,
   CASE WHEN posterior >= 0.8 THEN 'High Confidence' WHEN posterior >= 0.6 THEN 'Medium Confidence' WHEN posterior >= 0.4 THEN 'Low Confidence' ELSE 'Very Low Confidence' END AS confidence FROM q3)"""
 _RETRIEVE = f"WITH RECURSIVE {FN}, {CH}, {TK}, {HT}"
 _LEAD = f"{_RETRIEVE}, {CA}, {LE}"

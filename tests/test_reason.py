@@ -28,7 +28,7 @@ def world(spark):
 
 
 def leaders_and(world, hits):
-    return retrieve.leading(retrieve.candidates(hits)), hits, world["functions"], world["call"], world["flow"]
+    return retrieve.leading(retrieve.candidates(hits)), world["functions"], world["call"], world["flow"], world["vectors"]
 
 
 def chains_of(world, hits):
@@ -48,7 +48,7 @@ def hits_of(world):
 def test_every_known_node_of_a_chain_is_compared_with_the_chunk(world):
     hits = hits_of(world)
     assert [r["fn"] for r in hits.collect()] == ["a"]
-    got = {k: round(r["similarity"], 5) for k, r in rows_of(world, hits, vectors=world["vectors"]).items()}
+    got = {k: round(r["similarity"], 5) for k, r in rows_of(world, hits).items()}
     assert got == {"ab": 0.65, "abc": 0.53333, "ac": 0.6}
     best = R.reason(**world).first()
     assert best["chain"] == "a->b->c" and "Similarity          0.533" in best["report"]
@@ -61,9 +61,8 @@ def test_each_chain_has_a_judgment_of_its_own(world):
     assert {r["requirement"] for r in seen} == {"Read the page."} and all(r["node_details"] for r in seen)
     got = {k: r["judged"] for k, r in rows_of(world, hits, chunks=R.requirement_chunks(world["requirements"]), judge=partial(providers.judge, model=reply)).items()}
     assert got == {"ab": 0.2, "abc": 0.9, "ac": 0.2}
-    own = R.evidence(*leaders_and(world, hits)).select("doc_id", "rank", "ord", F.when(F.size("chain") == 3, 0.8).otherwise(0.1).alias("x"))
-    judgments = own.select("doc_id", "rank", "ord", text.neutral_scores().withField("overall", F.col("x")).alias("scores"))
-    assert {k: r["judged"] for k, r in rows_of(world, hits, judgments=judgments).items()} == {"ab": 0.1, "abc": 0.8, "ac": 0.1}
+    given = lambda rows: rows.select("doc_id", "rank", "ord", text.neutral_scores().withField("overall", F.when(F.size("ord") == 2, 0.8).otherwise(0.1)).alias("scores"))
+    assert {k: r["judged"] for k, r in rows_of(world, hits, chunks=R.requirement_chunks(world["requirements"]), judge=given).items()} == {"ab": 0.1, "abc": 0.8, "ac": 0.1}
     assert R.reason(**world, judge=partial(providers.judge, model=reply)).first()["summary_score"] == 0.9
 
 
@@ -72,7 +71,7 @@ def test_summaries_are_embedded_and_blended(spark, world):
     embedder = partial(providers.embed, width=2, model=lambda t: [near.get(x, [0.0, 0.0]) for x in t])
     asked = retrieve.top_products(world["vectors"], world["functions"])
     hits = retrieve.gated(R.with_summary_similarity(asked, world["vectors"], world["functions"], embedder))
-    assert {r["fn"]: (round(r["similarity"], 5), r["detail"]) for r in hits.collect()} == {"a": (0.9, "Vector DB:0.900"), "b": (0.56, "Vector DB:0.400+Summary:0.800")}
+    assert {r["fn"]: (round(r["similarity"], 5), r["detail"]) for r in hits.collect()} == {"a": (0.9, "vector 0.900"), "b": (0.56, "vector 0.400, summary 0.800")}
     nodes = spark.createDataFrame([("r", 0, k) for k in ("a", "b", "c", "gone")], "doc_id string, chunk_index int, fn string")
     got = R.node_similarities(nodes, world["vectors"], world["functions"], embedder).collect()
     assert {r["fn"]: round(r["similarity"], 5) for r in got} == {"a": 0.9, "b": 0.56, "c": 0.26}
