@@ -17,12 +17,12 @@ _NOT_NAMES = frozenset(
 )
 #: A name and what follows it up to its parameter list, which brackets delimit as it may hold braces.
 _SIGNATURE = {
-    "java": re.compile(r"(?P<name>[^\W\d][\w$]*)\s*(?P<list>\()"),
-    "cpp": re.compile(r"(?P<name>~?[^\W\d]\w*)\s*(?P<list>\()"),
+    "java": re.compile(r"(?<![\w$])(?P<name>[^\W\d][\w$]*)\s*(?P<list>\()"),
+    "cpp": re.compile(r"(?<!\w)(?P<name>~?[^\W\d]\w*)\s*(?P<list>\()"),
     "javascript": re.compile(
         r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*(?P<list>\()"
-        r"|(?P<name2>#?[\w$]+)\s*(?P<mark>[=:])\s*(?:async\s*)?(?:function\s*\*?\s*(?P<own>[\w$]+\s*)?(?P<list2>\()|(?P<arrow>\()|[\w$]+\s*=>\s*(?P<open2>\{))"
-        r"|(?P<name3>#?[\w$]+)\s*(?P<list3>\()"
+        r"|(?<![\w$#])(?P<name2>#?[\w$]+)\s*(?P<mark>[=:])\s*(?:async\s*)?(?:function\s*\*?\s*(?P<own>[\w$]+\s*)?(?P<list2>\()|(?P<arrow>\()|[\w$]+\s*=>\s*(?P<open2>\{))"
+        r"|(?<![\w$#])(?P<name3>#?[\w$]+)\s*(?P<list3>\()"
     ),
 }
 #: What may stand between the parameter list and the body, and the opening brace.
@@ -57,6 +57,23 @@ def blanked(text: str, toks: list) -> str:
 _TYPE = re.compile(r"\b(?:class|struct|interface|enum|record|union|namespace)\b(?!.*[=;])", re.S)
 
 
+_TYPE_WORDS = ("class", "struct", "interface", "enum", "record", "union", "namespace", "extern")
+
+
+def _opens(head: str) -> tuple[str, str]:
+    """What the brace after ``head`` opens, a space, a type or something else, and its name."""
+    if re.search(r"\bnamespace\b[\w:\s]*$", head) or re.search(r"\bextern\s*$", head):
+        n = re.search(r"\bnamespace\s+([\w:]+)\s*$", head)
+        return "space", n.group(1) if n else ""
+    t = _TYPE.search(head)
+    if t and not re.search(r"\)\s*(?:const|override|noexcept|final|\s)*$", head.split("class")[0] if "class" in head else head):
+        n = re.search(r"\b(?:class|struct|interface|enum|record|union)\s+(?:class\s+|struct\s+)?(?:\[\[[^\]]*\]\]\s*)?([\w$]+)", head)
+        return "type", n.group(1) if n else ""
+    if t and re.search(r"\b(?:class|struct|interface|enum|record)\b", head) and not re.search(r"\)\s*$", head):
+        return "type", ""
+    return "other", ""
+
+
 def frames(code: str) -> dict[int, tuple]:
     """Of each opening brace: (what it opens, the name of the type or namespace, the same of the braces around it, the place of
     the innermost of these or -1), by the text between it and the statement before."""
@@ -65,20 +82,10 @@ def frames(code: str) -> dict[int, tuple]:
     for m in re.finditer(r"[{};]", code):
         at = m.start()
         if m.group() == "{":
+            kind, name = "other", ""
             head = code[start:at]
-            t = _TYPE.search(head)
-            kind = "other"
-            name = ""
-            if re.search(r"\bnamespace\b[\w:\s]*$", head) or re.search(r'\bextern\s*$', head):
-                kind = "space"
-                n = re.search(r"\bnamespace\s+([\w:]+)\s*$", head)
-                name = n.group(1) if n else ""
-            elif t and not re.search(r"\)\s*(?:const|override|noexcept|final|\s)*$", head.split("class")[0] if "class" in head else head):
-                kind = "type"
-                n = re.search(r"\b(?:class|struct|interface|enum|record|union)\s+(?:class\s+|struct\s+)?(?:\[\[[^\]]*\]\]\s*)?([\w$]+)", head)
-                name = n.group(1) if n else ""
-            elif t and re.search(r"\b(?:class|struct|interface|enum|record)\b", head) and not re.search(r"\)\s*$", head):
-                kind = "type"
+            if any(w in head for w in _TYPE_WORDS):
+                kind, name = _opens(head)
             found[at] = (kind, name, tuple(k for k, _, _ in stack), tuple(n for _, n, _ in stack), stack[-1][2] if stack else -1)
             stack.append((kind, name, at))
         elif m.group() == "}" and stack:
