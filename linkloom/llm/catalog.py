@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import clean_id, table
-from . import docpairs, handwritten, mixing, neighbours, packing, reading, syntax
+from . import docpairs, handwritten, mixing, neighbours, packing, reading, scan, syntax
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     judged = handwritten.judged(table(spark, d, "source_file"), table(spark, d, "library_symbol"))
-    return judged.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), *[F.count_if(k).alias(k) for k in ("generated", "minified", "vendored", "data")])
+    return judged.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), *[F.count_if(k).alias(k) for k in ("generated", "minified", "vendored", "data", "by_names", "by_style", "by_notice", "by_copy", "by_place")])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,15 +41,11 @@ def p3_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "source_file")
-    excluded = handwritten.not_handwritten(files, table(spark, d, "library_symbol"))
-    return docpairs.pairs(files, excluded, with_code=False).select("path", "func_name", "name_line")
+    return scan.documented(table(spark, d, "source_file"), table(spark, d, "library_symbol")).select("path", "func_name", "name_line")
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "source_file")
-    excluded = handwritten.not_handwritten(files, table(spark, d, "library_symbol"))
-    return docpairs.pairs(files, excluded)
+    return scan.documented(table(spark, d, "source_file"), table(spark, d, "library_symbol"), with_code=True)
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -8,15 +8,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..parse import lexer as L
 from ..parse.source import comment_above, comment_lines, functions
-from ..runtime import cut
-from . import syntax
 
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿß]+|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
@@ -36,9 +33,10 @@ _EMPTY_WORDS = frozenset(
 )
 _CODE_END = re.compile(r"[;{}]$|^[})\]]+[;,]?$")
 _CODE_SIGN = re.compile(r"[=(){}\[\]<>]|->|::|^(?:return|break|continue|else|try|throw|goto)\b|^\w+(?:\s+\w+)?;$")
-_LICENCE = re.compile(r"copyright|spdx-|licen[cs]ed? (?:by|under)|all rights reserved|owners of this repository", re.I)
+_LICENCE = re.compile(r"copyright|spdx-|licen[cs]ed? (?:by|under)|all rights reserved", re.I)
 
 
+@lru_cache(maxsize=1 << 16)
 def _stem(word: str) -> str:
     w = word.lower()
     for end, least in (("ies", 4), ("es", 4), ("s", 3), ("ing", 5), ("ed", 4)):
@@ -87,52 +85,38 @@ def is_documentation(comment: str, name: str, signature: str) -> bool:
     if len(_CJK.findall(bare)) >= 4:
         return True
     fresh = {_stem(w) for w in _SPLIT.findall(bare) if len(w) > 1 and not w.isdigit() and w.lower() not in _EMPTY_WORDS} - known
-    fresh = {w for w in fresh if not any(k.startswith(w) or w.startswith(k) for k in known if len(k) > 2 and len(w) > 2)}
-    return bool(fresh)
+    long = tuple(k for k in known if len(k) > 2)
+    return any(len(w) <= 2 or not (w.startswith(long) or any(k.startswith(w) for k in long)) for w in fresh)
 
 
-PAIRS = "path string, func_name string, name_line int, end_line int, signature string, documentation string, code string, faulty boolean"
+FOUND = "struct<func_name:string, name_line:int, end_line:int, signature:string, documentation:string, code:string>"
+PAIRS = ("func_name", "name_line", "end_line", "signature", "documentation", "code")
 
 
-def pairs_of(path: str, content: bytes | None, with_code: bool = True) -> list[tuple]:
-    """Rows of ``PAIRS`` for one file: its documented functions, or one row with ``faulty`` where it does not parse."""
-    language = L.language_of(path)
-    if language is None:
+def found(unit: L.Unit, with_code: bool = True) -> list[tuple]:
+    """Rows of ``FOUND``: the documented functions of a file; without code the last three are null."""
+    if not unit.comments:
         return []
-    text = L.decode(content)
-    if syntax.faults(language, text):
-        return [(path, None, None, None, None, None, None, True)]
-    toks = [t for t in L.tokens(language, text) if t[0] == "c"]
-    if not toks:
-        return []
-    starts = [0] + [m.end() for m in re.finditer("\n", text)]
-    out = []
-    for name, at, first, brace, end in functions(language, text):
-        comment = comment_above(text, toks, first, starts)
+    text, starts, out = unit.text, unit.starts, []
+    for name, at, first, brace, end in functions(unit.language, text, unit):
+        comment = comment_above(text, unit.comments, first, starts)
         if not comment:
             continue
         signature = " ".join(text[first:brace].split())
         if not is_documentation(comment, name, signature):
             continue
-        told = " ".join(prose(comment)) if with_code else None
-        out.append((path, name.lstrip("#"), bisect_right(starts, at), bisect_right(starts, end - 1), signature if with_code else None, told, text[first:end] if with_code else None, False))
+        more = (signature, " ".join(prose(comment)), text[first:end]) if with_code else (None, None, None)
+        out.append((name.lstrip("#"), bisect_right(starts, at), bisect_right(starts, end - 1), *more))
     return out
 
 
-def documented(files: DataFrame, with_code: bool = True) -> DataFrame:
-    """Rows of ``PAIRS`` of all files. Null or unknown paths, null and empty contents give none; repeated rows repeat."""
-    columns = [c.split()[0] for c in PAIRS.split(", ")]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [r for p, c in part[["path", "content"]].itertuples(index=False, name=None) if p is not None for r in pairs_of(p, c, with_code)]
-            yield pd.DataFrame(rows, columns=columns).astype({"name_line": "Int32", "end_line": "Int32", "faulty": "boolean"})
-
-    return files.select("path", "content").mapInPandas(run, PAIRS)
-
+def pairs(scanned: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(path, ...) distinct documented functions, columns of ``PAIRS``, from rows of (path, fault, pairs) as of ``scan``.
 
-def pairs(files: DataFrame, excluded: DataFrame, with_code: bool = True) -> DataFrame:
-    """Distinct rows of documented functions in files that parse and whose path is not in ``excluded``."""
-    rows = cut(documented(files, with_code))
-    good = rows.where("not faulty").drop("faulty")
-    return good.join(rows.where("faulty").select("path").distinct(), "path", "left_anti").join(excluded.select("path").distinct(), "path", "left_anti").distinct()
+    Files of which a row has a fault and paths in ``excluded`` give none, nor do null or unknown paths, null and empty
+    contents; repeated rows count once.
+    """
+    rows = scanned.where("path is not null")
+    unwanted = rows.where("fault is not null").select("path").unionByName(excluded.select("path")).distinct()
+    each = rows.where(F.size("pairs") > 0).select("path", F.explode("pairs").alias("x"))
+    return each.join(unwanted, "path", "left_anti").select("path", *[F.col(f"x.{c}").alias(c) for c in PAIRS]).distinct()

@@ -1,16 +1,18 @@
-"""Generated, minified, third-party and data-payload source files.
+"""Generated, minified, third-party and data-payload source files, told by their identifiers.
 
 One pass lexes every file into a small feature row; a second adds up identifier character trigrams to one model per
-language (at most 3 x 32,768 counts, the only thing broadcast); a third scores each file under its language's model.
-
-* *minified*: long lines and little white space, or next to none in lines of any length, and names that the model finds mangled (high cross-entropy per character), or
-  that are nearly all a few characters long;
-* *generated*: a generator's notice in the comment above or below the code, or low diversity of line templates;
-* *vendored*: another owner's licence or import notice above the code, a directory named after a known outside package,
-  the same code in several repositories, or a naming style foreign to the language's files;
+language (at most 3 x 32,768 counts, the only thing broadcast); a third scores each file under its language's model. Then:
+
+* *minified*: the model finds the names mangled (high cross-entropy a character) and nearly all are a few characters long;
+* *generated*: template-like names of low diversity, measured by the entropy of the words that the names are made of over
+  what a file of as many tokens could have; the stranger the model finds the names, the sooner. Beside it count the few
+  markers that generators agreed on;
+* *vendored*: a naming style foreign to the repository's files of the language, or what names cannot show: a notice of
+  another owner above the code, a directory named after a known outside package, the same code in several repositories;
 * *data*: literals make up most of the code.
 
-What a file says about generators or licences inside its code, where it lies and how it is called decide nothing by itself.
+A notice speaks of another owner only where it is rare. The notice that heads a good part of all files with one, or of its
+repository's files, is the house's own, whatever its words.
 """
 
 from __future__ import annotations
@@ -30,44 +32,36 @@ from ..runtime import cut
 
 #: Parameters with their meanings.
 DATA_SHARE = 0.45  # of the characters of code, in literals
-MIN_LINES = 8  # of code, below which line templates tell nothing
-MANY_LINES = 20  # of code, from which low diversity alone is a template
-TEMPLATE_BITS = 3.2  # entropy of the line templates below which they are a generator's
-TEMPLATE_RATIO = 0.45  # the same, over the entropy that as many different lines would have
-SERIAL_RATIO = 0.65  # the same for a file whose members are numbered
-SERIAL_RUN = 6  # numbers 0, 1, 2, .. in its names from which a file's members are numbered
-DENSE_LINE = 150  # mean length of lines of code of a minified file
-DENSE_SPACE = 0.2  # greatest share of white space in it, literals and comments apart
-TIGHT_SPACE = 0.045  # the same, below which lines may have any length; files of ten names or more
-MANGLED_BITS = 3.0  # cross-entropy per character of names above which they are mangled
-BRIEF_NAMES = 0.6  # share of names of three characters or less that tells mangling where few files trained the model
+LEAST_TOKENS = 100  # of code, below which the diversity of names tells nothing
+TEMPLATE_DIVERSITY = 0.3  # of names, below which they come from a template
+STRANGE_GAIN = 0.8  # by which that bound rises with each bit of cross-entropy a character above the language's mean file
+MOST_DIVERSITY = 0.52  # beyond which the bound does not rise
+MANGLED_BITS = 1.0  # of cross-entropy a character above the language's mean file, from which names are mangled
+MANY_NAMES = 8  # names that a file must have to be minified
+BRIEF_NAMES = 0.6  # share of names of three characters or less in a minified file
+ALL_BRIEF = 0.9  # the same from which the model is not asked, as a language with few files has trained it on this one
 MIN_PRINT = 40  # tokens that a file must have to count as copied
-FOREIGN_STYLE = 0.6  # distance of its share of snake_case names from the language's
+STYLED_NAMES = 10  # names that a file must have to show a style
+FOREIGN_STYLE = 0.6  # distance between the style of its names and the repository's, 0 to 1
+HOUSE_SHARE, HOUSE_FILES = 0.2, 4  # share and number of files with a notice, from which a notice is the house's own
 
-_MACHINE = re.compile(
-    r"^\W*(?:\w+\W+){0,4}?(?:@generated\b|<auto-generated|\bauto-?generated (?:by|from|file|code)|generated (?:by|from|with|using) \S|code generated\b|do not (?:edit|modify)\b|produced automatically|"
-    r"automatically (?:produced|generated|created)|machine-?(?:made|generated)|manual (?:edits|changes) (?:are|will be) (?:over|lost)|changes made here will be lost|edit that instead|regenerate with\b|"
-    r"\w*自动生成|\w*自動生成|请勿修改|automatisch (?:erzeugt|generiert)|généré automatiquement|generado automáticamente)",
-    re.I | re.M,
-)
-#: A line that speaks of a notice is none.
-_REPORTED = re.compile(r"\b(?:says?|said|starts?|begins?|contains?|reads?|strip|strips|stripped|looks?|we|our|emitter|output|emits?|writes?|prints?|handled|elsewhere)\b", re.I)
+#: Words of a notice of ownership.
 _OWNER = re.compile(r"SPDX-License-Identifier|\blicen[cs]ed?\b|\bimported from\b|in sync with upstream|\bcopyright\b|\(c\)\s*\w|©|\|\s*(?:MIT|BSD|Apache|GPL|zlib|ISC)\b", re.I)
-_OWN = re.compile(r"the owners of this repository|internal source of the", re.I)
-_STUB_NOTE = re.compile(r"auto-?generated (?:method|constructor|catch|getter|setter|class|javadoc)", re.I)
-_WORDS = re.compile(r"[A-Za-z_$][\w$]*")
-_NUMBERED = re.compile(r"^_?[A-Za-z_]{3,}?_?(\d{1,6})_?$")
-_FOLD = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*")
+#: Markers that generators agreed on, which begin their line of a comment.
+_MARKER = re.compile(r"^\W*(?:@generated\b|<auto-generated\b|Code generated\b.*\bDO NOT EDIT\b)")
+_PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+")
 _KEYWORDS = frozenset(
     "abstract auto async await bool boolean break byte case catch char class const constexpr continue default delete do double else enum explicit export extends extern false final finally float for from "
     "function get goto if implements import in inline instanceof int interface let long namespace new noexcept null nullptr of operator override package private protected public return set short "
     "signed sizeof static struct super switch synchronized template this throw throws true try typedef typename typeof undefined unsigned using var virtual void volatile while yield include pragma once define".split()
 )
 
+STYLES = ("snake", "camel", "pascal", "upper")
 FEATURES = (
-    "path string, repo string, language string, machine boolean, owner boolean, dirs array<string>, print string, literal double, lines int, bits double, "
-    "mean_line double, space double, names int, brief double, serial int, snake double, grams array<int>, counts array<int>"
-)
+    "path string, repo string, language string, marker boolean, notices array<string>, dirs array<string>, print string, literal double, tokens int, diversity double, names int, brief double, "
+    + ", ".join(f"{s} double" for s in STYLES) + ", grams array<int>, counts array<int>"
+)
+COLUMNS = [c.split()[0] for c in FEATURES.split(", ")]
 
 
 def _codes() -> np.ndarray:
@@ -89,74 +83,64 @@ def _trigrams(names: set[str]) -> tuple[list[int], list[int]]:
     if not names:
         return [], []
     text = "\x00\x00" + "\x00\x00".join(sorted(names)) + "\x00"
-    raw = np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), 128).astype(np.int64)
+    raw = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 128).astype(np.int64)
     codes = np.where(raw == 0, _EDGE, _CODE[raw])
     grams = codes[:-2] << 10 | codes[1:-1] << 5 | codes[2:]
     grams = grams[codes[1:-1] + codes[2:] > 0]  # none lies across two names
-    keys, counts = np.unique(grams, return_counts=True)
-    return keys.tolist(), counts.tolist()
+    counts = np.bincount(grams, minlength=1 << 15)
+    keys = np.flatnonzero(counts)
+    return keys.tolist(), counts[keys].tolist()
 
 
-def describe(path: str | None, repo: str | None, content: bytes | None) -> tuple:
-    """The feature row of one file."""
-    language = L.language_of(path)
-    text = L.decode(content)
-    toks = L.tokens(language or "javascript", text)
-    lead, tail, code = [], [], []
-    for i, (k, a, b) in enumerate(toks):
-        (code if k != "c" else lead if not code else tail).append((k, a, b))
-        if k != "c" and tail:
-            tail = []
-    notice = "\n".join(text[a:b] for k, a, b in lead)
-    after = "\n".join(text[a:b] for k, a, b in tail)
-    notes = _STUB_NOTE.sub("", notice + "\n" + after)
-    machine = any(_MACHINE.match(x) and not _REPORTED.search(x) for x in notes.split("\n"))
-    owner = bool(code) and any(_OWNER.search(x) and not _OWN.search(x) and not _REPORTED.search(x) for x in notice.split("\n"))
-    size = sum(b - a for _, a, b in code)
-    literal = sum(b - a for k, a, b in code if k in "ns")
-    names: set[str] = set()
-    for k, a, b in code:
-        if k == "w":
-            w = text[a:b]
-            if w not in _KEYWORDS:
-                names.add(w)
-    # line templates: names and numbers fold to one sign each
-    masked = list(text)
-    for k, a, b in toks:
-        if k == "c":
-            masked[a:b] = [c if c == "\n" else " " for c in masked[a:b]]
-        elif k == "s":
-            masked[a:b] = ['"'] + [" "] * (b - a - 1)
-    lines = [x for x in (y.strip() for y in "".join(masked).split("\n")) if x]
-    templates = Counter(_FOLD.sub("i", x) for x in lines)
-    n = len(lines)
-    bits = -sum(c / n * math.log2(c / n) for c in templates.values()) if n else 0.0
-    span = sum(map(len, lines))
-    # white space is counted outside literals and comments, as a blanked one would be all white
-    bare, at = [], 0
+def _diversity(names: set[str], tokens: int) -> float:
+    """Entropy of the words in the names, numbers alike, over that of as many different words as the file has tokens."""
+    pieces = Counter("#" if x[0].isdigit() else x.lower() for x in _PIECES.findall(" ".join(names)))
+    n = sum(pieces.values())
+    return -sum(c / n * math.log2(c / n) for c in pieces.values()) / math.log2(max(tokens, 2)) if n else 0.0
+
+
+def _styles(names: set[str]) -> list[float]:
+    """Shares of names by ``STYLES``: words joined by underscores, humps after a small or a large first letter, all capitals."""
+    n = max(len(names), 1)
+    upper = sum(w.isupper() and len(w) > 1 for w in names)
+    snake = sum("_" in w.strip("_") and not w.isupper() for w in names)
+    pascal = sum(w[0].isupper() and not w.isupper() and "_" not in w for w in names)
+    camel = sum(w[0].islower() and not w.islower() and "_" not in w for w in names)
+    return [snake / n, camel / n, pascal / n, upper / n]
+
+
+def _comments(text: str, toks) -> list[str]:
+    """Lines of the comments before the first token that is none."""
+    lines: list[str] = []
     for k, a, b in toks:
-        if k in "cstux":
-            bare.append(text[at:a])
-            bare.append("\n" * text.count("\n", a, b) if k == "c" else '"')
-            at = b
-    bare.append(text[at:])
-    shown = [x for x in (y.strip() for y in "".join(bare).split("\n")) if x]
-    signs = sum(map(len, shown))
-    blank = sum(x.count(" ") + x.count("\t") for x in shown)
-    prints = hashlib.md5(" ".join(text[a:b] for _, a, b in code).encode("utf-8", "surrogatepass")).hexdigest() if len(code) >= MIN_PRINT else None
-    snake = sum("_" in w.strip("_") and not w.isupper() for w in names) / len(names) if names else 0.0
-    brief = sum(len(w) <= 3 for w in names) / len(names) if names else 0.0
-    numbers = {int(m) for w in names for m in _NUMBERED.findall(w)} | {int(m) for k, a, b in code if k == "s" and b - a < 40 for m in _NUMBERED.findall(text[a + 1 : b - 1])}
-    serial = next(i for i in range(len(numbers) + 1) if i not in numbers)
+        if k != "c":
+            break
+        lines += text[a:b].split("\n")
+    return lines
+
+
+def describe(path: str | None, repo: str | None, unit: L.Unit) -> tuple:
+    """The feature row of one file."""
+    text, toks = unit.plain, unit.tokens
+    notice, below = _comments(text, toks), _comments(text, reversed(toks))
+    marker = any(_MARKER.match(x) for x in notice + below)
+    code = [text[a:b] for k, a, b in toks if k != "c"]
+    joined = " ".join(code)
+    size = len(joined) - max(len(code) - 1, 0)
+    literal = sum([b - a for k, a, b in toks if k == "s" or k == "n"])
+    names = {text[a:b] for k, a, b in toks if k == "w"} - _KEYWORDS
+    notices = sorted({re.sub(r"\d+", "0", re.sub(r"^\W+|\W+$", "", x)) for x in notice if _OWNER.search(x)}) if code else []
+    prints = hashlib.md5(joined.encode("utf-8", "surrogatepass")).hexdigest() if len(code) >= MIN_PRINT else None
     dirs = [re.sub(r"[-_.@]?v?\d+(?:\.\d+)*$", "", x).lower() for x in (path or "").split("/")[1:-1]]
+    brief = sum(len(w) <= 3 for w in names) / len(names) if names else 0.0
     grams, counts = _trigrams(names)
-    return path, repo, language, machine, owner, dirs, prints, literal / size if size else 0.0, n, bits, span / n if n else 0.0, blank / signs if signs else 0.0, len(names), brief, serial, snake, grams, counts
+    return path, repo, L.language_of(path), marker, notices, dirs, prints, literal / size if size else 0.0, len(code), _diversity(names, len(code)), len(names), brief, *_styles(names), grams, counts
 
 
 def _describe_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in FEATURES.split(", ")]
     for part in parts:
-        yield pd.DataFrame([describe(*r) for r in part[["path", "repo", "content"]].itertuples(index=False, name=None)], columns=columns)
+        rows = [describe(p, r, L.Unit(L.language_of(p) or "javascript", L.decode(c))) for p, r, c in part[["path", "repo", "content"]].itertuples(index=False, name=None)]
+        yield pd.DataFrame(rows, columns=COLUMNS)
 
 
 def features(files: DataFrame) -> DataFrame:
@@ -208,36 +192,61 @@ def score(rows: DataFrame) -> DataFrame:
                 values.append(float((model[g] * c).sum() / c.sum()))
             yield part.drop(columns=["grams", "counts"]).assign(surprise=pd.Series(values, index=part.index, dtype="float64"))
 
-    return rows.mapInPandas(run, schema)
+    return rows.select(*COLUMNS).mapInPandas(run, schema)
 
 
-def judged(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """(path, repo, language, generated, minified, vendored, data): the verdict for each distinct path of files.
+def _foreign_notices(rows: DataFrame) -> DataFrame:
+    """(path): files with a notice that is not the house's own, of the whole collection or of its repository."""
+    rows = rows.select("path", F.coalesce("repo", F.lit("")).alias("at"), "notices").where(F.size("notices") > 0)
+    held = rows.select("path", "at", F.explode("notices").alias("notice")).distinct()
+    of_all = rows.agg(F.countDistinct("path")).scalar()
+    of_repo = rows.groupBy("at").agg(F.countDistinct("path").alias("of_repo"))
+    house = lambda n, of: (F.col(n) >= HOUSE_FILES) & (F.col(n) >= HOUSE_SHARE * of)
+    counts = held.groupBy("at", "notice").agg(F.count(F.lit(1)).alias("n"))
+    everywhere = counts.groupBy("notice").agg(F.sum("n").alias("n_all")).where(house("n_all", of_all)).select("notice")
+    here = counts.join(of_repo, "at").where(house("n", F.col("of_repo"))).select("at", "notice")
+    return held.join(everywhere, "notice", "left_anti").join(here, ["at", "notice"], "left_anti").select("path").distinct()
 
-    ``packages`` has the names of outside packages in its column ``package_name``. Rows without path are left out; a path
-    with several contents counts as what any of them is. Empty files are hand-written; an empty table gives no rows.
-    """
-    rows = score(cut(features(files.where("path is not null"))))
-    style = rows.where("names >= 10").groupBy("language").agg(F.avg("snake").alias("usual"))
+
+def judged_rows(rows: DataFrame, packages: DataFrame) -> DataFrame:
+    """The verdict of ``judged`` from feature rows that are written already."""
+    rows = score(rows.where("path is not null"))
+    usual = rows.where("surprise is not null").groupBy("language").agg(F.avg("surprise").alias("usual"))
+    styled = rows.where(F.col("names") >= STYLED_NAMES).groupBy("repo", "language").agg(*[F.avg(s).alias(f"{s}_usual") for s in STYLES])
     copied = rows.where("print is not null").select("print", "repo").distinct().groupBy("print").count().where("count > 1").select("print", F.lit(True).alias("copied"))
     outside = packages.select(F.lower(F.btrim("package_name")).alias("dir")).where("dir <> ''").distinct()
     lies = rows.select("path", F.explode("dirs").alias("dir")).join(outside, "dir", "left_semi").select("path").distinct().withColumn("lies", F.lit(True))
-    every = rows.join(style, "language", "left").join(copied, "print", "left").join(lies, "path", "left")
+    noted = _foreign_notices(rows).withColumn("noted", F.lit(True))
+    every = rows.join(usual, "language", "left").join(styled, ["repo", "language"], "left").join(copied, "print", "left").join(lies, "path", "left").join(noted, "path", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    full = F.greatest(F.log2(F.col("lines").cast("double")), F.lit(1.0))
-    template = (F.col("lines") >= MIN_LINES) & (F.col("bits") < TEMPLATE_BITS) & (((F.col("bits") / full < TEMPLATE_RATIO) & (F.col("lines") >= MANY_LINES)) | ((F.col("bits") / full < SERIAL_RATIO) & (F.col("serial") >= SERIAL_RUN))) & (F.col("literal") < DATA_SHARE)
-    tight = (F.col("space") < TIGHT_SPACE) & (F.col("names") >= 10)
-    dense = (((F.col("mean_line") > DENSE_LINE) & (F.col("space") < DENSE_SPACE)) | tight) & (F.col("literal") < DATA_SHARE)
+    odd = F.col("surprise") - F.col("usual")
+    many = (F.col("names") >= MANY_NAMES) & (F.col("tokens") >= LEAST_TOKENS)
+    mangled = many & (((odd > MANGLED_BITS) & (F.col("brief") > BRIEF_NAMES)) | (F.col("brief") > ALL_BRIEF))
+    bound = F.least(F.lit(MOST_DIVERSITY), TEMPLATE_DIVERSITY + STRANGE_GAIN * F.greatest(F.coalesce(odd, F.lit(0.0)), F.lit(0.0)))
+    template = (F.col("tokens") >= LEAST_TOKENS) & (F.col("diversity") < bound)
+    distance = sum((F.abs(F.col(s) - F.col(f"{s}_usual")) for s in STYLES), F.lit(0.0)) / 2
+    foreign = (F.col("names") >= STYLED_NAMES) & (distance > FOREIGN_STYLE) & ~mangled & ~template
     return every.groupBy("path").agg(
-        F.max("repo").alias("repo"),
-        F.max("language").alias("language"),
-        F.max(yes(F.col("machine") | template)).alias("generated"),
-        F.max(yes(dense & ((F.col("surprise") > MANGLED_BITS) | (F.col("brief") > BRIEF_NAMES)))).alias("minified"),
-        F.max(yes(F.col("owner")) | yes(F.col("copied")) | yes(F.col("lies")) | yes((F.col("names") >= 10) & (F.abs(F.col("snake") - F.col("usual")) > FOREIGN_STYLE) & ~template)).alias("vendored"),
-        F.max(yes((F.col("literal") >= DATA_SHARE) & (F.col("lines") > 0))).alias("data"),
-    )
+        F.max("repo").alias("repo"), F.max("language").alias("language"),
+        F.max(yes((template & ~mangled & (F.col("literal") < DATA_SHARE)) | F.col("marker"))).alias("generated"), F.max(yes(mangled)).alias("minified"),
+        F.max(yes(foreign) | yes(F.col("noted")) | yes(F.col("copied")) | yes(F.col("lies"))).alias("vendored"),
+        F.max(yes(F.col("literal") >= DATA_SHARE)).alias("data"),
+        *[F.max(yes(c)).alias(name) for name, c in (("by_names", template | mangled), ("by_style", foreign), ("by_notice", F.col("noted")), ("by_copy", F.col("copied")), ("by_place", F.col("lies")))],
+    )
+
+
+def judged(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """(path, repo, language, generated, minified, vendored, data, by_names, by_style, by_notice, by_copy, by_place) of each distinct path.
+
+    ``packages`` has the names of outside packages in its column ``package_name``. Rows without path are left out; a path
+    with several contents counts as what any of them is. Empty files are hand-written; an empty table gives no rows.
+    """
+    return judged_rows(cut(features(files.where("path is not null"))), packages)
+
+
+UNWANTED = "generated or minified or vendored or data"
 
 
 def not_handwritten(files: DataFrame, packages: DataFrame) -> DataFrame:
     """(path) of the files that nobody wrote by hand here."""
-    return judged(files, packages).where("generated or minified or vendored or data").select("path")
+    return judged(files, packages).where(UNWANTED).select("path")

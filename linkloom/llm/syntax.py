@@ -43,27 +43,26 @@ _AFTER_BINARY_BAD = frozenset(") ] ; } ,".split())
 _NEVER_FIRST = frozenset("= += -= *= /= %= &= |= ^= <<= >>= >>>= == != === !== <= >= && || ?? << >>> % | ^ ? => > ) ] , . ->".split())
 
 
-def _significant(language: str, text: str) -> tuple[list[tuple[str, str, int]], list[str]]:
+def _significant(unit: L.Unit) -> tuple[list[tuple[str, str, int]], list[str]]:
     """(kind, text, start) of the tokens that are no comments; lexical faults."""
-    found: list[str] = []
-    if language == "cpp":
-        text, found = L.preprocess(text)
-    out = []
-    for kind, a, b in L.tokens(language, text):
+    found, text, out = list(unit.odd), unit.plain, []
+    for kind, a, b in unit.tokens:
         if kind == "c":
             continue
-        x = text[a:b]
         if kind == "u":
             found.append("unterminated literal")
         elif kind == "x":
             found.append("stray character")
-        out.append((kind, x, a))
+        out.append((kind, text[a:b], a))
     return out, found
 
 
-def faults(language: str, text: str) -> list[str]:
-    """What makes the text invalid for the language; empty text and text of comments only are valid."""
-    toks, found = _significant(language, text)
+def faults(language: str, text: str, unit: L.Unit | None = None) -> list[str]:
+    """What makes the text invalid for the language; empty text and text of comments only are valid.
+
+    unit: the lexed text, where there is one already.
+    """
+    toks, found = _significant(unit or L.Unit(language, text))
     if not toks or found:
         return found
     return {"java": _java, "cpp": _cpp, "javascript": _javascript}[language](toks, text)
@@ -294,8 +293,6 @@ def _cpp(toks, text: str) -> list[str]:
                 return ["operand after bracket"]
         elif prev in _BINARY:
             if prev in ("*", "&", "&&") and (x in (")", ",", ">", "]", "&", "*", "&&", "const", "...", "=", ";") or word):
-                if x == ";" and not (p2 in _C_TYPE or True):
-                    return ["operator without operand"]
                 if key and x in _STATEMENT:
                     return ["statement in expression"]
             elif prev == "=" and x in ("]", ";", ")", "}", ",") and not (p2 == "[" or x == "]") and p2 != "operator":

@@ -1,4 +1,5 @@
-from linkloom.llm import docpairs as D
+from linkloom.llm import docpairs as D, scan, syntax
+from linkloom.parse import lexer as L
 
 JAVA = b'''package a.b;
 
@@ -87,8 +88,13 @@ exports.third = function (x) { };
 '''
 
 
+def pairs_of(path, content):
+    unit = L.Unit(L.language_of(path), L.decode(content))
+    return [] if syntax.faults(unit.language, unit.text, unit) else D.found(unit)
+
+
 def found(path, content):
-    return {(r[1], r[2]) for r in D.pairs_of(path, content)}
+    return {(r[0], r[1]) for r in pairs_of(path, content)}
 
 
 def test_java():
@@ -104,8 +110,8 @@ def test_javascript():
 
 
 def test_crlf_and_bodies():
-    row = [r for r in D.pairs_of("r/A.java", JAVA.replace(b"\n", b"\r\n")) if r[1] == "move"][0]
-    assert row[2] == 16 and row[5] == "Moves each record into the vault before midnight." and row[6].rstrip().endswith("return 1; }")
+    row = [r for r in pairs_of("r/A.java", JAVA.replace(b"\n", b"\r\n")) if r[0] == "move"][0]
+    assert row[1] == 16 and row[4] == "Moves each record into the vault before midnight." and row[5].rstrip().endswith("return 1; }")
 
 
 def test_documentation_or_not():
@@ -117,8 +123,8 @@ def test_documentation_or_not():
 
 def test_tables(spark):
     rows = [("r/A.java", JAVA), ("r/A.java", JAVA), ("r/bad.java", b"class A { /** Words that matter. */ void f() {"), ("r/a.mjs", JS), (None, JS), ("r/n.java", None), ("r/e.js", b""), ("r/x.txt", JS)]
-    files = spark.createDataFrame(rows, "path string, content binary").selectExpr("*", "'x' as func_name")
+    files = spark.createDataFrame(rows, "path string, content binary").selectExpr("*", "'x' as func_name", "'r' as repo")
     out = spark.createDataFrame([("r/a.mjs",)], "path string")
-    got = D.pairs(files, out, with_code=False).collect()
+    got = D.pairs(scan.scan(files), out).collect()
     assert {(r["path"], r["func_name"]) for r in got} == {("r/A.java", n) for n in ("move", "tagged", "lines", "german")} and len(got) == 4
-    assert D.pairs(files.limit(0), out).count() == 0
+    assert D.pairs(scan.scan(files.limit(0)), out).count() == 0

@@ -24,8 +24,9 @@ def test_kinds_and_decoys(spark):
         ("r/third/quillbox-2.1.0/In.java", HAND.replace("Tide", "In"), "r"), ("r/third/party/Out.java", HAND.replace("Tide", "Out"), "r"), ("r/src/Wave.java", copy, "r"), ("q/src/Wave.java", "// moved\n" + copy, "q"),
         ("r/e.js", b"", "r"), ("r/n.js", None, None), (None, MIN, "r"),
     ]
+    rows += [(f"r/src/House{i}.java", "// Copyright (c) 2020 the owners of this repository.\n" + HAND.replace("Tide", f"House{'ABCD'[i]}"), "r") for i in range(4)]
     got = judged(spark, rows)
-    hand = {"r/src/Tide.java", "r/generated/Own.java", "r/src/Stub.java", "r/src/Talk.java", "r/third/party/Out.java", "r/e.js", "r/n.js"}
+    hand = {f"r/src/House{i}.java" for i in range(4)} | {"r/src/Tide.java", "r/generated/Own.java", "r/src/Stub.java", "r/src/Talk.java", "r/third/party/Out.java", "r/e.js", "r/n.js"}
     assert {p for p, k in got.items() if not k} == hand
     assert {p for p, k in got.items() if "generated" in k} == {"r/src/Gen.java", "r/src/Tail.java", "r/src/T.java"}
     assert got["r/src/Bang.java"] == {"vendored"}
@@ -45,6 +46,13 @@ def test_very_long_file_and_trigrams(spark):
     assert judged(spark, [("r/long.js", "let a = b;\n" * 50_000, "r")])["r/long.js"] is not None
 
 
+def test_a_foreign_naming_style_is_vendored(spark):
+    snake = "class Deep {\npublic:\n" + "".join(f"    int {a}_{b}(int old_{a});\n" for a in ("wet", "dry", "calm") for b in ("rope", "sail", "tide")) + "};\n"
+    camel = "class Deep{0} {{\npublic:\n" + "".join(f"    int {a}{b}{{0}}(int old{b});\n" for a in ("wet", "dry", "calm") for b in ("Rope", "Sail", "Tide")) + "}};\n"
+    got = judged(spark, [("r/a.hpp", snake, "r")] + [(f"r/c{i}.hpp", camel.format("ABCDEFGH"[i]), "r") for i in range(8)])
+    assert got["r/a.hpp"] == {"vendored"} and not any(got[f"r/c{i}.hpp"] for i in range(8))
+
+
 def test_trigram_edges():
     keys, _ = H._trigrams({"a"})
     assert keys == sorted(keys) and all(0 <= k < 1 << 15 for k in keys)

@@ -1,6 +1,7 @@
 import re
 
 from linkloom.llm import handwritten as H
+from linkloom.parse import lexer as L
 
 from test_handwritten import HAND, judged
 
@@ -16,8 +17,8 @@ def test_minified_files_with_many_strings_and_wrapped_ones(spark):
     message = "the boat is not in the harbor "
     full = bundle(message)
     wrapped = re.sub(r"(.{70}[^\w\"$]*)(?=[;,{}])", r"\1\n", bundle("k"))
-    share = H.describe("r/m.js", "r", full.encode())
-    assert H.DATA_SHARE > share[7] > 0.2 and max(map(len, wrapped.split("\n"))) < 150
+    share = dict(zip(H.COLUMNS, H.describe("r/m.js", "r", L.Unit("javascript", full))))
+    assert H.DATA_SHARE > share["literal"] > 0.2 and max(map(len, wrapped.split("\n"))) < 150
     hand = [(f"r/H{i}.java", HAND.replace("Tide", f"Tide{i}"), "r") for i in range(10)] + [("r/s.js", "let a = 1;\nlet b = a;\n", "r"), ("r/t.js", "f();\n", "r")]
     got = judged(spark, [("r/m.js", full, "r"), ("r/w.js", wrapped, "r"), *hand])
     assert "minified" in got["r/m.js"] and "minified" in got["r/w.js"]

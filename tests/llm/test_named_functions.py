@@ -1,6 +1,6 @@
-from linkloom.llm import docpairs as D
 from linkloom.parse.source import functions
 
+from test_docpairs import pairs_of
 
 def named(language, text):
     return [f[0] for f in functions(language, text)]
@@ -32,6 +32,6 @@ list.forEach(function (x) { const gone = function () { }; });
 
 def test_comments_of_newly_found_functions():
     js = b"define(function () {\n    go({ a: 1 })\n    /** Winds the rope twice. */\n    function turn({ a }) { }\n});\n"
-    assert [(r[1], r[2]) for r in D.pairs_of("r/a.js", js)] == [("turn", 4)]
+    assert [(r[0], r[1]) for r in pairs_of("r/a.js", js)] == [("turn", 4)]
     java = b'class A {\n    /** Winds the rope twice. */\n    @B({\n        "x"\n    })\n    void turn(@C({"y"}) int a) { }\n}\n'
-    assert [(r[1], r[2]) for r in D.pairs_of("r/A.java", java)] == [("turn", 6)]
+    assert [(r[0], r[1]) for r in pairs_of("r/A.java", java)] == [("turn", 6)]
