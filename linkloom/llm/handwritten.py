@@ -39,7 +39,7 @@ MOST_DIVERSITY = 0.52  # beyond which the bound does not rise
 MANGLED_BITS = 1.0  # of cross-entropy a character above the language's mean file, from which names are mangled
 MANY_NAMES = 8  # names that a file must have to be minified
 BRIEF_NAMES = 0.6  # share of names of three characters or less in a minified file
-ALL_BRIEF = 0.9  # the same from which the model is not asked, as a language with few files has trained it on this one
+ALL_BRIEF = 0.85  # the same from which the model is not asked, as a language with few files has trained it on this one
 MIN_PRINT = 40  # tokens that a file must have to count as copied
 STYLED_NAMES = 10  # names that a file must have to show a style
 FOREIGN_STYLE = 0.6  # distance between the style of its names and the repository's, 0 to 1
