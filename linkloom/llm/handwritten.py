@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..parse import lexer as L
-from ..runtime import cut
+from ..runtime import keep
 
 #: Parameters with their meanings.
 DATA_SHARE = 0.45  # of the characters of code, in literals
@@ -210,7 +210,7 @@ def _foreign_notices(rows: DataFrame) -> DataFrame:
 
 def judged_rows(rows: DataFrame, packages: DataFrame) -> DataFrame:
     """The verdict of ``judged`` from feature rows that are written already."""
-    rows = score(rows.where("path is not null"))
+    rows = keep(score(rows.where("path is not null")))  # read by several small aggregates, each of a few columns
     usual = rows.where("surprise is not null").groupBy("language").agg(F.avg("surprise").alias("usual"))
     styled = rows.where(F.col("names") >= STYLED_NAMES).groupBy("repo", "language").agg(*[F.avg(s).alias(f"{s}_usual") for s in STYLES])
     copied = rows.where("print is not null").select("print", "repo").distinct().groupBy("print").count().where("count > 1").select("print", F.lit(True).alias("copied"))
@@ -241,7 +241,7 @@ def judged(files: DataFrame, packages: DataFrame) -> DataFrame:
     ``packages`` has the names of outside packages in its column ``package_name``. Rows without path are left out; a path
     with several contents counts as what any of them is. Empty files are hand-written; an empty table gives no rows.
     """
-    return judged_rows(cut(features(files.where("path is not null"))), packages)
+    return judged_rows(keep(features(files.where("path is not null"))), packages)
 
 
 UNWANTED = "generated or minified or vendored or data"
