@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators import retrieve
 from ..runtime import clean_id, table
 from . import docpairs, handwritten, mixing, neighbours, packing, reading, scan, syntax
 
@@ -40,6 +41,21 @@ def p3_all(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the search finds nine in ten of the true neighbours of every function whose id has a hash divisible by 50, among
+    all functions: the search as it runs for all of them, by leaf, against the exact one."""
+    vectors = neighbours.usable(table(spark, d, "graph_node").where(F.col("type").isin("Function", "Method")))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    known = vectors.groupBy(F.col("id").alias("clean")).agg(F.first("vector").alias("vector")).withColumn("vector", F.transform("vector", lambda x: x.cast("double") / norm))
+    asked = known.where(F.conv(F.substring(F.md5("clean"), 1, 8), 16, 10).cast("long") % 50 == 0).select(F.col("clean").alias("doc_id"), F.lit(0).alias("chunk_index"), "vector")
+    true = retrieve.top_products(asked, known, neighbours.NEAREST + 1).where("fn <> doc_id")
+    order = Window.partitionBy("doc_id").orderBy("place")
+    true = true.select(F.col("doc_id").alias("id"), F.col("fn").alias("neighbour"), F.row_number().over(order).alias("n")).where(F.col("n") <= neighbours.NEAREST)
+    found = neighbours.nearest(vectors, vectors, block=0).select("id", "neighbour", F.lit(True).alias("hit"))
+    met = true.join(found, ["id", "neighbour"], "left")
+    return met.agg(F.countDistinct("id").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("nine_in_ten"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scan.documented(table(spark, d, "source_file"), table(spark, d, "library_symbol")).select("path", "func_name", "name_line")
 
@@ -76,7 +92,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_all, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_all, p3_recall, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_profile)}
 _SPACE = "' ' || chr(9) || chr(10) || chr(13)"
 SQL: dict[str, str] = {
     # exact search: the forest may miss what this finds, at these sizes it looks into nearly every leaf
@@ -86,4 +102,7 @@ p AS (SELECT DISTINCT probe_no, trim(node_id, {_SPACE}) AS id FROM knn_probe),
 s AS (SELECT p.probe_no, n.id, row_number() OVER (PARTITION BY probe_no ORDER BY list_cosine_similarity(q.x, n.x) DESC, n.id) AS k
   FROM p JOIN v q ON q.id = p.id JOIN v n ON n.id <> p.id)
 SELECT probe_no, id AS neighbor_id FROM s WHERE k <= 10""",
+    "p3_recall": f"""WITH v AS (SELECT DISTINCT trim(id, {_SPACE}) AS id FROM graph_node WHERE type IN ('Function', 'Method') AND trim(id, {_SPACE}) <> '' AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0), n AS (SELECT count(*) AS k FROM v)
+SELECT count(*) AS queries, CAST(sum(least(10, k - 1)) AS BIGINT) AS wanted, true AS nine_in_ten FROM v, n WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 50 = 0""",
 }
