@@ -89,7 +89,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     """Documents, words and mean sentence length per component and band."""
     found = reading.levels(table(spark, d, "documents"), table(spark, d, "reading_anchor"))
     named = found.join(table(spark, d, "documents").select("doc_id", "component"), "doc_id")
-    return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"))
+    return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"), F.count_if("checked").alias("checked"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_all, p3_recall, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_profile)}

@@ -1,29 +1,34 @@
 """Reading level of documents on the bands of sample texts.
 
-The prose of each document is separated from headings, code, traces, logs, tables, links and bracketed references.
-Vocabulary demand is the smallest corpus-frequency rank whose words cover a fixed share of the document's words; sentence
-complexity is words per sentence and syllables per word. Both are calibrated in SQL against the sample texts, whose bands
-give a straight scale and the cuts on it.
+The prose of each document is separated from headings, code, traces, logs, tables, links and bracketed references. Vocabulary
+demand is the coverage rank: the smallest rank of a frequency-ranked vocabulary whose words cover a fixed share of the
+document's words. Sentence complexity is words per sentence. Both are calibrated in SQL against the sample texts, whose
+bands give a straight scale and the cuts on it.
+
+The vocabulary is a public one, that of a byte-pair tokenizer: pieces were merged in order of their frequency in general
+text, so the place of a word is its frequency rank, and a word of several pieces comes after all words of one. Ranks counted
+in the collection itself say how common a word is there, not how demanding it is. A document that lies close to a cut, where
+neighbouring bands of sample texts overlap, is checked on a second scale that has the syllables per word beside both.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.prefix import prefix_sums
-from ..runtime import cut, keep
+from ..runtime import cut
+from . import tokens
 
 #: Parameters with their meanings.
 LEAST_WORDS = 40  # of running prose
-COVERED = 0.95  # share of a document's words that the vocabulary must cover
-HEAD = 1 << 17  # most frequent words whose ranks are sent to every task; rarer ones are joined
+COVERED = 0.85  # share of a document's words that the vocabulary must cover
+CLOSE = 0.3  # distance to a cut, in bands, below which the second scale decides
 
 _FENCE = re.compile(r"^\s{0,3}(```+|~~~+)")
 _LIST = re.compile(r"^\s{0,12}(?:[-*+•–]|\(?\d{1,3}[.)]|[a-zA-Z][.)])\s+(?:\[[ xX]\]\s+)?")
@@ -133,12 +138,11 @@ def prose_units(text: str | None) -> list[str]:
     return units
 
 
-def measure(text: str | None) -> tuple[bool, int, int, int, list[str], list[int]]:
-    """(english, words, sentences, syllables, distinct words, their counts) of the prose."""
-    units = prose_units(text)
+def measure(text: str | None, rank: Callable[[str], int]) -> tuple[bool, int, int, int, int | None]:
+    """(english, words, sentences, syllables, coverage rank) of the prose; without words the rank is null."""
     words: Counter[str] = Counter()
     sentences = 0
-    for unit in units:
+    for unit in prose_units(text):
         found = _WORD.findall(unit.lower())
         if not found:
             continue
@@ -150,105 +154,81 @@ def measure(text: str | None) -> tuple[bool, int, int, int, list[str], list[int]
     n = sum(words.values())
     english = sum(c for w, c in words.items() if w in _ENGLISH)
     german = sum(c for w, c in words.items() if w in _GERMAN)
-    return english > german and english * 20 >= n, n, sentences, sum(syllables(w) * c for w, c in words.items()), list(words), list(words.values())
+    covered, reached = 0, None
+    for place, count in sorted((rank(w), c) for w, c in words.items()):
+        covered, reached = covered + count, place
+        if covered >= COVERED * n:
+            break
+    return english > german and english * 20 >= n, n, sentences, sum(syllables(w) * c for w, c in words.items()), reached
 
 
-MEASURED = "id long, english boolean, words long, sentences long, syllables long, terms array<string>, counts array<int>"
+MEASURED = "id long, english boolean, words long, sentences long, syllables long, rank long"
 
 
-def measured(texts: DataFrame, key: str) -> DataFrame:
-    """Rows of ``MEASURED`` for each row of (key, text); null and empty texts have no words."""
-    columns = [c.split()[0] for c in MEASURED.split(", ")]
+def measured(texts: DataFrame, key: str, vocabulary: str | None = None) -> DataFrame:
+    """Rows of ``MEASURED`` for each row of (key, text); null and empty texts have no words. vocabulary: path of its file."""
+    columns, where = [c.split()[0] for c in MEASURED.split(", ")], vocabulary or tokens.words_path()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = tokens.word_ranks(where)
         for part in parts:
-            yield pd.DataFrame([(i, *measure(t)) for i, t in part[["id", "text"]].itertuples(index=False, name=None)], columns=columns).astype({"id": "Int64"})
+            rows = [(i, *measure(t, rank)) for i, t in part[["id", "text"]].itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=columns).astype({"id": "Int64", "rank": "Int64"})
 
     return texts.select(F.col(key).alias("id"), "text").mapInPandas(run, MEASURED)
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(term, rank): the words of all English documents by falling frequency, equal ones by the word; ranks start at 1."""
-    terms = rows.where("english").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.terms", "x.counts")
-    counted = terms.groupBy(F.col("terms").alias("term")).agg(F.sum("counts").alias("n"))
-    placed = cut(counted.sort(F.desc("n"), "term").select("term", F.monotonically_increasing_id().alias("at"), F.lit(1).alias("one")))
-    ranked = prefix_sums(placed.withColumn("block", F.shiftright("at", 33)), [], "block", ["at"], "one", "before")
-    return ranked.select("term", (F.col("before") + 1).alias("rank"))
+#: Traits of the scale, and of the one that checks what lies close to a cut.
+TRAITS = {"x0": "1.0", "x1": "words / sentences", "x2": "ln(rank)"}
+CHECKED = TRAITS | {"x3": "syllables / words"}
 
 
-def _covered_by_join(rows: DataFrame, ranks: DataFrame, last: int) -> DataFrame:
-    """(id, rank): coverage rank of few documents against the whole vocabulary; unknown words come after all others."""
-    terms = rows.select("id", "words", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("id", "words", F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
-    known = terms.join(ranks, "term", "left").withColumn("rank", F.coalesce("rank", F.lit(last + 1)))
-    upto = W.partitionBy("id").orderBy("rank").rangeBetween(W.unboundedPreceding, 0)
-    reached = known.withColumn("sum", F.sum("n").over(upto)).where(F.col("sum") >= COVERED * F.col("words"))
-    return reached.groupBy("id").agg(F.min("rank").alias("rank"))
-
-
-def _covered_by_head(rows: DataFrame, head: dict[str, int]) -> DataFrame:
-    """(id, words, sentences, syllables, rank): rank is null where the most frequent words do not cover enough."""
-    known = rows.sparkSession.sparkContext.broadcast(head)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = []
-            for n, terms, counts in part[["words", "terms", "counts"]].itertuples(index=False, name=None):
-                ranks = np.fromiter((known.value.get(t, HEAD + 1) for t in terms), dtype=np.int64, count=len(terms))
-                order = np.argsort(ranks, kind="stable")
-                at = int(np.searchsorted(np.cumsum(np.asarray(counts)[order]), COVERED * n))
-                rank = int(ranks[order[min(at, len(order) - 1)]]) if len(order) else None
-                found.append(rank if rank is not None and rank <= HEAD else None)
-            yield part[["id", "words", "sentences", "syllables"]].assign(rank=pd.Series(found, index=part.index, dtype="Int64"))
-
-    return rows.mapInPandas(run, "id long, words long, sentences long, syllables long, rank long")
-
-
-_TRAITS = "1.0 AS x0, words / sentences AS x1, syllables / words AS x2, ln(rank) AS x3"
-
-
-def calibrate(samples: DataFrame) -> tuple[list[float], list[int], list[float]]:
+def calibrate(samples: DataFrame, traits: dict[str, str]) -> tuple[list[float], list[int], list[float]]:
     """Weights of the traits, the bands in order and the cuts between them, from (band, words, sentences, syllables, rank).
 
     The sums of products of a least-squares fit of the band on the traits, and the extremes of each band on the fitted
     scale, are SQL aggregates over the sample texts; a cut lies midway between the extremes of neighbouring bands.
     """
-    traits = samples.selectExpr("band", *_TRAITS.split(", "))
-    names = ["x0", "x1", "x2", "x3"]
-    sums = traits.selectExpr(*[f"sum({a} * {b}) AS {a}{b}" for a in names for b in names], *[f"sum({a} * band) AS {a}y" for a in names]).first()
+    rows = samples.selectExpr("band", *[f"{x} AS {k}" for k, x in traits.items()])
+    names = list(traits)
+    sums = rows.selectExpr(*[f"sum({a} * {b}) AS {a}{b}" for a in names for b in names], *[f"sum({a} * band) AS {a}y" for a in names]).first()
     if sums is None or sums["x0x0"] is None:
         return [], [], []
     left = np.array([[sums[a + b] for b in names] for a in names], dtype=float)
     weights = np.linalg.lstsq(left, np.array([sums[a + "y"] for a in names], dtype=float), rcond=None)[0].tolist()
-    scale = " + ".join(f"{w!r}D * {a}" for w, a in zip(weights, names))
-    ends = traits.selectExpr("band", f"{scale} AS s").groupBy("band").agg(F.min("s").alias("low"), F.max("s").alias("high")).orderBy("band").collect()
+    ends = rows.selectExpr("band", f"{_scale(weights, names)} AS s").groupBy("band").agg(F.min("s").alias("low"), F.max("s").alias("high")).orderBy("band").collect()
     return weights, [r["band"] for r in ends], [(a["high"] + b["low"]) / 2 for a, b in zip(ends, ends[1:])]
 
 
-def levels(documents: DataFrame, samples: DataFrame, key: str = "doc_id", sample_key: str = "anchor_id") -> DataFrame:
-    """(key, band, words, coverage_rank, words_per_sentence, syllables_per_word) of English documents with enough prose.
+def _scale(weights: list[float], names: list[str]) -> str:
+    return " + ".join(f"{w!r}D * {a}" for w, a in zip(weights, names))
+
+
+def _band(s: str, bands: list[int], cuts: list[float]) -> Column:
+    band = F.lit(bands[0])
+    for cut_at, name in zip(cuts, bands[1:]):
+        band = F.when(F.col(s) > cut_at, F.lit(name)).otherwise(band)
+    return band.cast("int")
+
+
+def levels(documents: DataFrame, samples: DataFrame, key: str = "doc_id", sample_key: str = "anchor_id", vocabulary: str | None = None) -> DataFrame:
+    """(key, band, words, coverage_rank, words_per_sentence, syllables_per_word, checked) of English documents with enough prose.
 
     Repeated rows come out repeatedly; null and empty texts, other languages and documents with fewer than
-    ``LEAST_WORDS`` words of prose do not come out. Without sample texts there are no bands and no rows.
+    ``LEAST_WORDS`` words of prose do not come out. Without sample texts there are no bands and no rows. ``checked`` tells
+    that the document lies within ``CLOSE`` of a cut and has its band from the second scale.
     """
-    rows = keep(measured(documents, key))
-    ranks = cut(vocabulary(rows))
-    last = ranks.count()
-    usable = "english AND words >= 1 AND sentences >= 1"
-    anchors = measured(samples, sample_key).where("words >= 1 AND sentences >= 1")
-    anchors = anchors.join(_covered_by_join(anchors, ranks, last), "id").join(samples.select(F.col(sample_key).alias("id"), "band"), "id")
-    weights, bands, cuts = calibrate(cut(anchors.select("band", "words", "sentences", "syllables", "rank")))
+    samples = samples.select(F.col(sample_key).alias("id"), "band", "text")
+    anchors = cut(measured(samples, "id", vocabulary).where("words >= 1 AND sentences >= 1").join(samples.select("id", "band"), "id"))
+    weights, bands, cuts = calibrate(anchors, TRAITS)
     if not bands:
-        return documents.limit(0).select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("band", "int"), ("words", "long"), ("coverage_rank", "long"), ("words_per_sentence", "double"), ("syllables_per_word", "double"))])
-    head = {r["term"]: r["rank"] for r in ranks.where(F.col("rank") <= HEAD).collect()}
-    long = rows.where(f"{usable} AND words >= {LEAST_WORDS}")
-    near = _covered_by_head(long, head)
-    if last > HEAD:
-        near = cut(near)
-        rest = long.join(near.where("rank is null").select("id").distinct(), "id", "left_semi")
-        far = _covered_by_join(rest.dropDuplicates(["id"]), ranks, last).withColumnRenamed("rank", "far")
-        near = near.join(far, "id", "left").withColumn("rank", F.coalesce("rank", "far")).drop("far")
-    scored = near.selectExpr("id", "words", "rank", *_TRAITS.split(", ")).withColumn("s", sum((F.lit(w) * F.col(f"x{i}") for i, w in enumerate(weights)), F.lit(0.0)))
-    band = F.lit(bands[0])
-    for cut_at, name in zip(cuts, bands[1:]):
-        band = F.when(F.col("s") > cut_at, F.lit(name)).otherwise(band)
-    return scored.select(F.col("id").alias(key), band.cast("int").alias("band"), "words", F.col("rank").alias("coverage_rank"), F.col("x1").alias("words_per_sentence"), F.col("x2").alias("syllables_per_word"))
+        none = (("band", "int"), ("words", "long"), ("coverage_rank", "long"), ("words_per_sentence", "double"), ("syllables_per_word", "double"), ("checked", "boolean"))
+        return documents.limit(0).select(key, *[F.lit(None).cast(t).alias(c) for c, t in none])
+    more, _, finer = calibrate(anchors, CHECKED)
+    rows = measured(documents, key, vocabulary).where(f"english AND sentences >= 1 AND words >= {LEAST_WORDS}")
+    rows = rows.selectExpr("id", "words", "rank", *[f"{x} AS {k}" for k, x in CHECKED.items()])
+    rows = rows.selectExpr("*", f"{_scale(weights, list(TRAITS))} AS s", f"{_scale(more, list(CHECKED))} AS finer")
+    distance = F.least(*[F.abs(F.col("s") - c) for c in cuts]) if len(cuts) > 1 else F.abs(F.col("s") - cuts[0]) if cuts else F.lit(None).cast("double")
+    checked = F.coalesce(distance < CLOSE, F.lit(False))
+    band = F.when(checked, _band("finer", bands, finer)).otherwise(_band("s", bands, cuts))
+    return rows.select(F.col("id").alias(key), band.alias("band"), "words", F.col("rank").alias("coverage_rank"), F.col("x1").alias("words_per_sentence"), F.col("x3").alias("syllables_per_word"), checked.alias("checked"))

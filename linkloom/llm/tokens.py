@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +18,30 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def words_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def word_ranks(path: str) -> Callable[[str], int]:
+    """The rank, from 1, of a lower-case word in a vocabulary whose pieces were merged in order of frequency; a word of k
+    pieces comes k - 1 times the vocabulary's size after those of one."""
+    if path not in _LOADED:
+        from tokenizers import Tokenizer
+
+        known = Tokenizer.from_file(path)
+        size = known.get_vocab_size()
+
+        @lru_cache(maxsize=1 << 17)
+        def rank(word: str) -> int:
+            pieces = known.encode(word, add_special_tokens=False).ids
+            return pieces[0] + 1 if len(pieces) == 1 else max(len(pieces), 2) * size
+
+        _LOADED[path] = rank
+    return _LOADED[path]
+
+
 def tokenizer(path: str):
     """The byte-level BPE of a rank file, loaded once per worker."""
     if path not in _LOADED:

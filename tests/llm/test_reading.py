@@ -1,8 +1,6 @@
 import random
 
-import pytest
-
-from linkloom.llm import reading as R
+from linkloom.llm import reading as R, tokens
 
 TEXT = """[copied] Subject: Beacon: trace
 
@@ -34,10 +32,10 @@ Short title
 def test_prose_and_counts():
     units = R.prose_units(TEXT)
     assert units == ["The keeper walks to the harbor and lights the lamp. He waits there for an hour until the boats return.", "The first item has no stop", "The second item ends.", "Third!"]
-    english, words, sentences, syllables, terms, counts = R.measure(TEXT)
-    assert english and (words, sentences) == (31, 5) and sum(counts) == words
-    assert R.measure(None)[:4] == (False, 0, 0, 0) and R.measure("")[1] == 0
-    assert not R.measure("Die Datei prüft jede Version vor dem Start und das System meldet nicht.")[0]
+    english, words, sentences, syllables, rank = R.measure(TEXT, len)
+    assert english and (words, sentences) == (31, 5) and rank == 6  # 27 of 31 words have up to six letters
+    assert R.measure(None, len) == (False, 0, 0, 0, None) and R.measure("", len)[1] == 0
+    assert not R.measure("Die Datei prüft jede Version vor dem Start und das System meldet nicht.", len)[0]
     assert [R.syllables(w) for w in ("the", "table", "make", "documentation", "non-deterministic")] == [1, 2, 1, 5, 6]
 
 
@@ -68,10 +66,11 @@ def test_held_out_texts_get_their_band(spark):
     assert R.levels(frame.limit(0), samples).count() == 0 and R.levels(frame, samples.limit(0)).count() == 0
 
 
-def test_words_beyond_the_head_are_ranked_by_join(spark, monkeypatch):
-    rng = random.Random(5)
-    frame = spark.createDataFrame([(i, text(rng, 0.5, 10)) for i in range(20)], "doc_id long, text string")
-    samples = spark.createDataFrame([(i, b, text(rng, *LEVELS[b])) for i, b in enumerate(b for b in LEVELS for _ in range(3))], "anchor_id long, band int, text string")
-    whole = R.levels(frame, samples).toPandas().sort_values("doc_id").coverage_rank.tolist()
-    monkeypatch.setattr(R, "HEAD", 3)
-    assert R.levels(frame, samples).toPandas().sort_values("doc_id").coverage_rank.tolist() == whole
+def test_ranks_of_words_and_what_they_add(spark):
+    rank = tokens.word_ranks(tokens.words_path())
+    assert 0 < rank("the") < rank("harbor") < rank("instrumentation") < rank("interoperableness")
+    rng = random.Random(6)
+    anchors = spark.createDataFrame([(i, b, text(rng, *LEVELS[b])) for i, b in enumerate(b for b in LEVELS for _ in range(8))], "id long, band int, text string")
+    rows = R.measured(anchors, "id").join(anchors.select("id", "band"), "id").cache()
+    assert all(w > 0 for w in R.calibrate(rows, R.TRAITS)[0][1:])  # longer sentences and rarer words are more demanding
+    assert R.calibrate(rows.limit(0), R.TRAITS) == ([], [], [])
