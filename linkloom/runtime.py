@@ -72,14 +72,15 @@ def fresh(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Like ``cut`` through a Parquet table in the shared folder, which is smaller for rows with arrays of strings.
+def keep(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Like ``cut`` through a Parquet table in the shared folder, of which later steps read only the columns that they need,
+    and with ``by`` only the values of that column that they ask for.
 
     The table is removed when the driver ends.
     """
     ensure_checkpoint_dir(df.sparkSession)
     spark = df.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/kept-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _remove_at_end(spark, path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
