@@ -15,7 +15,9 @@ task ever holds all children of one parent, nor more than a block of the positio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from ..runtime import clean_id, cut, keep
 from .prefix import prefix_sums
@@ -77,12 +79,12 @@ def _take_off(numbers: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
 def _until_settled(state: DataFrame, step) -> DataFrame:
     """Apply ``step`` to (.., up) until no row has a pointer left, or as many as after the round before."""
-    left = None
-    while True:
-        n = state.where("up is not null").count()
-        if n == 0 or n == left:
-            return state
-        left, state = n, cut(step(state))
+    left, n = None, None
+    while n is None or (n and n != left):
+        seen = Observation()
+        left, state = n, cut((state if n is None else step(state)).observe(seen, F.count("up").alias("n")))
+        n = seen.get["n"]
+    return state
 
 
 def _sizes(inner: DataFrame) -> DataFrame:
@@ -109,12 +111,13 @@ def _placed(inner: DataFrame, with_path: bool) -> DataFrame:
         told = [F.concat_ws(SEPARATOR, "path2", "path").alias("path")] if with_path else []
         return asking.select("n", F.col("up2").alias("up"), (F.col("place") + F.col("place2")).alias("place"), *told).unionByName(t.where("up is null"))
 
-    return _until_settled(cut(state), step).drop("up")
+    return _until_settled(state, step).drop("up")
 
 
 def _circles(rest: DataFrame) -> DataFrame:
-    """(n, least, on_circle): for nodes on or below a circle the smallest id on it. rest: (n, p, name)."""
-    far, size = rest.select("n", F.col("p").alias("up")), None
+    """(n, least, on_circle): for nodes on or below a circle the smallest id on it. rest: (n, p, up, name), ``up`` being some
+    node above."""
+    far, size = rest.select("n", "up"), None
     while True:
         on = cut(far.select(F.col("up").alias("n")).distinct())
         count = on.count()
@@ -169,32 +172,32 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     keyed = _numbered(links.select("child", "parent").dropna().groupBy("child").agg(F.min("parent").alias("parent")))
     layers, inner = _take_off(keyed.select("n", "p"))
     sized = _sizes(inner)
-    open_ = sized.where("up is not null").select("n")
     settled = sized.where("up is null").select("n", "size").join(inner.select("n", "p"), "n").select("n", "p", "size")
     names = keyed.select("n", F.col("child").alias("name"), "parent")
     tops = settled.where("p is null")
     tops = tops.join(keyed.select(F.col("p").alias("n"), F.col("parent").alias("name")).groupBy("n").agg(F.first("name").alias("name")), "n").withColumn("parent", F.lit(None).cast("string"))
-    turning = inner.join(open_, "n", "left_semi").select("n", "p", F.lit(0).cast("long").alias("size"))
-    below = settled.where("p is not null").withColumn("layer", F.lit(LAYERS)).unionByName(turning.withColumn("layer", F.lit(-1)))
+    turning = inner.select("n", "p").join(sized.where("up is not null").select("n", "up"), "n").select("n", "p", F.lit(0).cast("long").alias("size"), "up")
+    below = settled.where("p is not null").withColumn("layer", F.lit(LAYERS)).unionByName(turning.withColumn("layer", F.lit(-1)), allowMissingColumns=True)
     for i, layer in enumerate(layers):
-        below = below.unionByName(layer.withColumn("layer", F.lit(i)))
+        below = below.unionByName(layer.withColumn("layer", F.lit(i)), allowMissingColumns=True)
     # places of children inside their parent's range, and of trees side by side: prefix sums in blocks
     gaps = prefix_sums(below.withColumn("block", F.shiftright("n", 58)), ["p"], "block", ["n"], "size", "gap").withColumn("gap", F.col("gap") + 1)
     starts = prefix_sums(tops.withColumn("block", F.shiftright("n", 48)), [], "block", ["n"], "size", "gap")
-    rows = keep(gaps.join(names, "n").unionByName(starts.withColumn("layer", F.lit(LAYERS)), allowMissingColumns=True).select("n", "p", "size", "gap", "layer", "name", "parent"), "layer")
+    rows = keep(gaps.join(names, "n").unionByName(starts.withColumn("layer", F.lit(LAYERS)), allowMissingColumns=True).select("n", "p", "up", "size", "gap", "layer", "name", "parent"), "layer")
     path = ["path"] if with_path else []
     inner_rows = rows.where(F.col("layer") == LAYERS)
     done = _placed(inner_rows, with_path).join(inner_rows, "n").select("n", "p", "place", "size", "name", "parent", *path, F.lit(None).cast("string").alias("least"), F.lit(False).alias("on_circle"))
-    round_ = _circles(rows.where("layer = -1")) if turning.limit(1).count() else None
+    round_ = _circles(rows.where("layer = -1")) if rows.where("layer = -1").limit(1).count() else None
     if round_ is not None:
         held = round_.join(rows.where("layer = -1"), "n").select("n", "p", _none().alias("place"), "size", "name", "parent", *[F.lit(None).cast("string").alias(c) for c in path], "least", "on_circle")
         done = done.unionByName(held)
+    parts = [keep(done)]
     for i in reversed(range(LAYERS)):
-        above = done.select(F.col("n").alias("p"), F.col("place").alias("place2"), *[F.col(c).alias(f"{c}2") for c in path], "least")
+        above = reduce(DataFrame.unionByName, parts).select(F.col("n").alias("p"), F.col("place").alias("place2"), *[F.col(c).alias(f"{c}2") for c in path], "least")
         told = [F.when(F.col("path2").isNotNull(), F.concat_ws(SEPARATOR, "path2", "name")).alias("path")] if with_path else []
         now = rows.where(F.col("layer") == i).join(above, "p").select("n", "p", (F.col("place2") + F.col("gap")).alias("place"), "size", "name", "parent", *told, "least", F.lit(False).alias("on_circle"))
-        done = done.unionByName(now)
-    done = keep(done)
+        parts.append(keep(now) if i else now)
+    done = keep(reduce(DataFrame.unionByName, parts))
     placed = _read_off(done.where("place is not null")).select(F.col("name").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", "depth", "place", "pre", "size", "on_circle", *path)
     lost = done.where("place is null").select(F.col("name").alias("node_id"), F.col("parent").alias("parent_id"), F.col("least").alias("root_id"), F.lit(-1).alias("depth"), "place", _none().alias("pre"), _none().alias("size"), "on_circle", *path)
     return placed.unionByName(lost)
