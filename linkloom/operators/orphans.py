@@ -7,7 +7,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import clean_id
+from ..runtime import clean_id, fresh
 
 MATCHES = ("simple", "partial", "full")
 
@@ -16,7 +16,7 @@ def orphans(refs: DataFrame, parents: DataFrame, on: dict[str, str], match: str
     """Rows of ``refs`` whose key has no row in ``parents``, with ``null_mask`` added; ``on`` maps reference to parent columns.
 
     References are grouped by null mask (one letter a column, ``N`` null or ``V`` value) and each mask is anti-joined on its
-    non-null columns only. As in SQL's declared match semantics, *simple* lets any null satisfy the reference, *partial*
+    non-null columns only, all masks in one join: both tables are read once. As in SQL's declared match semantics, *simple* lets any null satisfy the reference, *partial*
     asks for a parent that agrees on the non-null columns, *full* takes a mixture of null and value as an orphan; a key
     that is null throughout satisfies all three. Repeated rows stay; columns of equal names on both sides do not clash;
     empty parents make every non-null reference an orphan.
@@ -24,21 +24,23 @@ def orphans(refs: DataFrame, parents: DataFrame, on: dict[str, str], match: str
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     keys = list(on)
-    mask = F.concat(*[F.when(F.col(k).isNull(), "N").otherwise("V") for k in keys])
+    mask, word = F.concat(*[F.when(F.col(k).isNull(), "N").otherwise("V") for k in keys]), fresh([*refs.columns, *parents.columns], "null_mask__")
     marked = refs.withColumn("null_mask", mask)
-    parts = []
-    for letters in product("NV", repeat=len(keys)):
-        word = "".join(letters)
-        if "V" not in word or (match == "simple" and "N" in word):
-            continue
-        rows = marked.where(F.col("null_mask") == word)
-        if match == "full" and "N" in word:
-            parts.append(rows)
-            continue
-        used = [k for k, x in zip(keys, word) if x == "V"]
-        there = parents.select(*[F.col(on[k]).alias(f"__parent_{i}") for i, k in enumerate(used)]).dropna().distinct()
-        parts.append(rows.join(there, reduce(lambda a, b: a & b, [rows[k] == there[f"__parent_{i}"] for i, k in enumerate(used)]), "left_anti"))
-    return reduce(DataFrame.unionByName, parts) if parts else marked.limit(0)
+    whole = "V" * len(keys)
+    asked = [whole] if match != "partial" else ["".join(x) for x in product("NV", repeat=len(keys)) if "V" in x]
+    # parents by mask: the columns that the mask leaves out are null, so that one equi-join serves every mask
+    held = [fresh(marked.columns, f"__parent_{i}") for i in range(len(keys))]
+    kept = lambda m: F.struct(F.lit(m).alias(word), *[(F.col(on[k]) if x == "V" else F.lit(None).cast(dict(parents.dtypes)[on[k]])).alias(h) for k, x, h in zip(keys, m, held)])
+    full = lambda m: reduce(lambda a, b: a & b, [F.col(on[k]).isNotNull() for k, x in zip(keys, m) if x == "V"])
+    there = parents.select(F.explode(F.array_compact(F.array(*[F.when(full(m), kept(m)) for m in asked]))).alias("__x")).select("__x.*").distinct()
+    rows = marked.where(F.col("null_mask").isin(asked))
+    if len(asked) == 1:
+        there, same = there.drop(word), [rows[k] == there[h] for k, h in zip(keys, held)]
+    else:
+        same = [rows["null_mask"] == there[word], *[rows[k].eqNullSafe(there[h]) for k, h in zip(keys, held)]]
+    found = rows.join(there, reduce(lambda a, b: a & b, same), "left_anti")
+    mixed = marked.where(F.contains("null_mask", F.lit("N")) & F.contains("null_mask", F.lit("V")))
+    return found.unionByName(mixed) if match == "full" else found
 
 
 def lifetimes(nodes: DataFrame) -> DataFrame:
@@ -55,24 +57,22 @@ def dangling(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     out. Edges without recorded_at can only be missing. Repeated deliveries give one row per (edge_id, state).
 
     The outside symbols leave first, since one of them can be the target of a tenth or more of all rows. What is missing is
-    the plain orphan test; what exists carries its first recording along and meets the lifetimes a second time on the same
-    key, hence without another exchange of the edges.
+    found by ``orphans``; what exists meets its first recording and its lifetimes on the same key, so that the references are
+    exchanged once for all three joins.
     """
     refs = edges.select("edge_id", clean_id("target_id").alias("target"), F.upper(F.btrim("type", F.lit(" \t\r\n"))).alias("type"), "recorded_at")
     outside = known.select(clean_id("id").alias("outside"))
     refs = orphans(refs, outside, {"target": "outside"}).drop("null_mask")
     spans = lifetimes(nodes)
     first = spans.groupBy("id").agg(F.min("recorded_at").alias("first_at"))
-    met = refs.join(first, refs.target == first.id, "left").drop("id")
-    state = F.when(F.col("first_at").isNull(), "missing").when(F.col("first_at") > F.col("recorded_at"), "late")
-    met = met.withColumn("state", state)
-    early = met.where("state is not null")
+    missing = orphans(refs, first, {"target": "id"}).drop("null_mask").withColumn("state", F.lit("missing"))
+    met = refs.where("recorded_at is not null").join(first, refs.target == first.id).drop("id")
+    late = met.where("first_at > recorded_at").withColumn("state", F.lit("late"))
     live = spans.select("id", F.col("recorded_at").alias("from_at"), "removed_at")
-    rest = met.where("state is null and recorded_at is not null")
     alive = (F.col("target") == F.col("id")) & (F.col("from_at") <= F.col("recorded_at")) & (F.col("removed_at").isNull() | (F.col("removed_at") > F.col("recorded_at")))
-    deleted = rest.join(live, alive, "left_anti").withColumn("state", F.lit("deleted"))
+    deleted = met.where("first_at <= recorded_at").join(live, alive, "left_anti").withColumn("state", F.lit("deleted"))
     columns = ["edge_id", "state", "type", "recorded_at"]
-    return early.select(columns).unionByName(deleted.select(columns)).dropDuplicates(["edge_id", "state"])
+    return missing.select(columns).unionByName(late.select(columns)).unionByName(deleted.select(columns)).dropDuplicates(["edge_id", "state"])
 
 
 def dangling_report(found: DataFrame, edges: DataFrame) -> DataFrame:
