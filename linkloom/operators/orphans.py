@@ -32,11 +32,12 @@ def orphans(refs: DataFrame, parents: DataFrame, on: dict[str, str], match: str
     held = [fresh(marked.columns, f"__parent_{i}") for i in range(len(keys))]
     kept = lambda m: F.struct(F.lit(m).alias(word), *[(F.col(on[k]) if x == "V" else F.lit(None).cast(dict(parents.dtypes)[on[k]])).alias(h) for k, x, h in zip(keys, m, held)])
     full = lambda m: reduce(lambda a, b: a & b, [F.col(on[k]).isNotNull() for k, x in zip(keys, m) if x == "V"])
-    there = parents.select(F.explode(F.array_compact(F.array(*[F.when(full(m), kept(m)) for m in asked]))).alias("__x")).select("__x.*").distinct()
     rows = marked.where(F.col("null_mask").isin(asked))
     if len(asked) == 1:
-        there, same = there.drop(word), [rows[k] == there[h] for k, h in zip(keys, held)]
+        there = parents.select(*[F.col(on[k]).alias(h) for k, h in zip(keys, held)]).dropna().distinct()
+        same = [rows[k] == there[h] for k, h in zip(keys, held)]
     else:
+        there = parents.select(F.explode(F.array_compact(F.array(*[F.when(full(m), kept(m)) for m in asked]))).alias("__x")).select("__x.*").distinct()
         same = [rows["null_mask"] == there[word], *[rows[k].eqNullSafe(there[h]) for k, h in zip(keys, held)]]
     found = rows.join(there, reduce(lambda a, b: a & b, same), "left_anti")
     mixed = marked.where(F.contains("null_mask", F.lit("N")) & F.contains("null_mask", F.lit("V")))
