@@ -56,6 +56,12 @@ def keywords(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))))
 
 
+def keyword_union(*texts: Column) -> Column:
+    """Sorted distinct keywords of several texts; null texts have none."""
+    lists = [F.coalesce(keywords(c), F.array().cast("array<string>")) for c in texts]
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
+
+
 def concise(c: Column) -> Column:
     """A summary without its stock beginning, cut to its first words, without blanks, dots and commas at the ends."""
     text = F.regexp_replace(strip(c), r"(?iU)^(?:" + "|".join(SUMMARY_PREFIXES) + r")\s*", "")

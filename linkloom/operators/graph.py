@@ -56,6 +56,11 @@ def adjacency(call: DataFrame) -> DataFrame:
     return call.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("callees"))
 
 
+def reverse(call: DataFrame) -> DataFrame:
+    """(src, dst, ord) with callee and caller changed over. Rows, no lists: one callee may have a tenth of all callers."""
+    return call.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ord")
+
+
 def degrees(call: DataFrame) -> DataFrame:
     """(fn, out_degree, in_degree, centrality). Centrality is the degree over twice min(10, callers - 1), at most 1; with
     one caller, where that is 0, it is 0.5."""

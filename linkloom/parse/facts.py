@@ -28,6 +28,7 @@ _CALL = {
     "cpp": re.compile(r"(?P<pre>\bnew\s+)?(?P<n>(?:[A-Za-z_]\w*(?:::|\.|->))*~?[A-Za-z_]\w*)\s*(?:<[^<>()]*>\s*)?\("),
     "javascript": re.compile(r"(?P<pre>\bnew\s+|\bfunction\s+)?(?P<n>(?:[A-Za-z_$][\w$]*\s*\??\.\s*)*[A-Za-z_$][\w$]*)\s*\("),
 }
+_MEMBER = re.compile(r"(?:\.|->)\s*([A-Za-z_]\w*)(?!\w|\s*[(<:])")
 _NOT_CALLS = frozenset("if for while switch catch return sizeof alignof decltype typeof synchronized try function super this new throw assert static_cast dynamic_cast const_cast reinterpret_cast await yield import defined noexcept".split())
 _MODIFIERS = frozenset("public private protected static final abstract native synchronized transient volatile strictfp default inline virtual explicit constexpr friend extern override async export".split())
 _IMPORT = re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", re.M)
@@ -191,6 +192,9 @@ def _extract(language: str, path: str, text: str, file_id: str, add, dataflow: b
             if pre in ("new", "function") or simple in _NOT_CALLS or len(callee) >= 100:
                 continue
             calls.setdefault(callee if language != "cpp" else re.sub(r"^.*(?:\.|->)", "", callee), None)
+        if language == "cpp":  # members that are only read count as well
+            for m in _MEMBER.finditer(code, brace, end):
+                calls.setdefault(m.group(1), None)
         for callee in calls:
             add("call", key=full, id=node, callee=callee)
         if dataflow and language != "javascript":

@@ -11,12 +11,9 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-#: Suffix to language.
-SUFFIXES = {
-    ".c": "cpp", ".cpp": "cpp", ".h": "cpp", ".hpp": "cpp", ".tcc": "cpp",
-    ".java": "java",
-    ".js": "javascript", ".jsx": "javascript", ".ts": "javascript", ".tsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-}
+from ..functions.text import LANGUAGES
+
+SUFFIXES = {suffix: language for language, suffixes in LANGUAGES.items() for suffix in suffixes}
 
 #: Order of encodings tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")

@@ -40,8 +40,19 @@ def global_access(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'edge' and type in ('READS', 'WRITES')").select("source_id", "target_id", "type").distinct()
 
 
-def build(files: DataFrame, dataflow: bool = True) -> dict[str, DataFrame]:
-    """nodes, edges, metadata, statistics and errors of source files (path, content)."""
+def vectors_of(metadata: DataFrame, embedder) -> DataFrame:
+    """``metadata`` with ``embedding`` of the first text among summary, signature and name; rows without any text, or whose
+    vector is all zero, are left out. The id stays beside its vector, so that the two can't fall out of step.
+
+    This is the index of a build, and rebuilds one from metadata alone.
+    """
+    said = F.coalesce(*[F.nullif(F.btrim(c), F.lit("")) for c in ("summary", "signature", "name") if c in metadata.columns])
+    rows = embedder(metadata.withColumn("__text", said).where("__text is not null"), "__text").drop("__text")
+    return rows.where(F.exists("embedding", lambda x: x != 0))
+
+
+def build(files: DataFrame, dataflow: bool = True, embedder=None) -> dict[str, DataFrame]:
+    """nodes, edges, metadata, statistics and errors of source files (path, content); with an ``embedder`` also vectors."""
     rows = keep(facts(files, dataflow))
     nodes = _first_of(rows.where("kind = 'node'").select(*_NODE, "ord", "comment", "code"), "id")
     own = rows.where("kind = 'edge'").groupBy("source_id", "target_id", "type", "language").agg(F.min("position").alias("position"), F.max("detail").alias("detail"))
@@ -66,7 +77,22 @@ def build(files: DataFrame, dataflow: bool = True) -> dict[str, DataFrame]:
     callers = rows.where("kind = 'call'").agg(F.countDistinct("key")).scalar()
     langs = {k: rows.where((F.col("type") == "File") & (F.col("language") == k)).agg(F.countDistinct("path")).scalar() for k in resolve.SEPARATORS}
     statistics = counts.select("*", n_edges.alias("total_edges"), callers.alias("call_relations_count"), *[v.alias(f"files_{k}") for k, v in langs.items()], F.lit(dataflow).alias("enable_dataflow"))
-    return {"nodes": nodes, "edges": edges, "metadata": metadata, "statistics": statistics, "errors": rows.where("kind = 'error'").select("path", "detail"), "facts": rows}
+    index = {"vectors": vectors_of(metadata, embedder)} if embedder else {}
+    return index | {"nodes": nodes, "edges": edges, "metadata": metadata, "statistics": statistics, "errors": rows.where("kind = 'error'").select("path", "detail"), "facts": rows}
+
+
+def enhanced(rows: DataFrame, language: str) -> DataFrame:
+    """(source_id, target_id, type, language) of a second look at all callers, whatever their language, by the rules of one.
+
+    A callee that the rules don't resolve goes to the first key that contains it. Edges are labelled with the language.
+    """
+    known = symbols(rows).drop("language").groupBy("key").agg(F.min("key_ord").alias("key_ord"), F.min_by("node_id", "key_ord").alias("node_id"))
+    asked = rows.where("kind = 'call'").select(F.col("key").alias("caller_key"), "callee").distinct()
+    found = resolve.resolve(asked, known, language).select("caller_key", "callee", "node_id")
+    rest = asked.join(found, ["caller_key", "callee"], "left_anti")
+    loose = rest.join(resolve.contains_match(rest, known), "callee").select("caller_key", "callee", "node_id")
+    edges = resolve.call_edges(found.unionByName(loose), known)
+    return edges.select("source_id", "target_id", F.lit("CALLS").alias("type"), F.lit(language).alias("language"))
 
 
 # ---------------------------------------------------------------- queries; SQL can't parse source text, tests hold them

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import scoring, text
 from ..operators import chains, graph, resolve, retrieve
 from ..runtime import clean_id, cut, table
+from .. import providers
 from . import reason as plan
 
 # ---------------------------------------------------------------- shared inputs
@@ -93,6 +94,11 @@ def summary_keywords(spark, d):
     return _functions(spark, d).where("summary is not null").select("id", F.array_join(text.keywords(F.col("summary")), " ").alias("keywords"))
 
 
+def keyword_union(spark, d):
+    c = text.keyword_union(F.col("summary"), F.col("signature"))
+    return _functions(spark, d).select("id", F.array_join(c, " ").alias("keywords"))
+
+
 def concise_info(spark, d):
     c = text.concise(F.col("summary"))
     return _functions(spark, d).where("summary is not null").select("id", c.alias("concise"), text.is_utility(c).alias("utility"))
@@ -179,6 +185,12 @@ def adjacency(spark, d):
     return graph.adjacency(_calls(spark, d)).select("src", F.array_join("callees", " ").alias("callees"), F.size("callees").cast("long").alias("n"))
 
 
+def reverse_adjacency(spark, d):
+    """Callers of each callee: how many, and the first and last in order of delivery."""
+    order = F.struct("ord", "dst")
+    return graph.reverse(_calls(spark, d)).groupBy("src").agg(F.count(F.lit(1)).alias("callers"), F.min_by("dst", order).alias("first_caller"), F.max_by("dst", order).alias("last_caller"))
+
+
 def degree_centrality(spark, d):
     return graph.degrees(_calls(spark, d)).withColumn("centrality", F.round("centrality", 6))
 
@@ -221,8 +233,8 @@ def walks_2_4(spark, d):
     return found.groupBy("doc_id", F.size("chain").cast("long").alias("nodes")).agg(F.count(F.lit(1)).alias("walks"))
 
 
-def _told(spark, d):
-    found = chains.walks(_leaders(spark, d).select("doc_id", "rank", "fn", "mode"), _calls(spark, d))
+def _told(spark, d, *more):
+    found = chains.walks(_leaders(spark, d).select("doc_id", "rank", "fn", "mode", *more), _calls(spark, d))
     return chains.summarized(found, _functions(spark, d), ["doc_id", "rank", "ord"])
 
 
@@ -239,6 +251,14 @@ def chain_cap(spark, d):
     return kept.select("doc_id", F.col("rank").cast("long").alias("rank"), _joined("chain").alias("chain"), "mode")
 
 
+def judge_prompt(spark, d):
+    """What a judge is asked about each chain that it sees."""
+    kept = chains.capped(chains.distinct_summaries(_told(spark, d, "best_chunk_index"), ["doc_id", "rank"], ["ord"]), ["doc_id", "rank"])
+    rows = plan.judge_inputs(kept, plan.requirement_chunks(table(spark, d, "requirement_text")), _functions(spark, d))
+    asked = providers.prompt(F.col("requirement"), F.col("semantic_summary"), F.col("node_details"))
+    return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), _joined(F.col("ord").cast("array<string>")).alias("ord"), asked.alias("prompt"))
+
+
 _NUMBERS = ("similarity", "structure", "prior", "posterior", "judged")
 
 
@@ -310,9 +330,9 @@ _resolvers = {f"resolve_{k}": _resolve(k, s) for k, s in (("java", r"\."), ("jav
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_filter_counts, clean_func_ids, summary_keywords, concise_info, paragraph_split, greedy_pack, word_windows, template_summary, parse_scores, resolve_contains,
-        call_edge_dedup, edge_node_inner, param_positional_join, return_first, var_node_dedup, flow_records, graph_load_route, adjacency, degree_centrality, dataflow_flags, cosine_topk,
-        similarity_gate, semantic_blend, candidate_agg, candidate_top5, walks_2_3, walks_2_4, chain_summary, semantic_dedup, chain_cap, chain_evidence, ranked_chains, run_statistics,
+        tree_filter_counts, clean_func_ids, summary_keywords, keyword_union, concise_info, paragraph_split, greedy_pack, word_windows, template_summary, parse_scores, resolve_contains,
+        call_edge_dedup, edge_node_inner, param_positional_join, return_first, var_node_dedup, flow_records, graph_load_route, adjacency, reverse_adjacency, degree_centrality, dataflow_flags, cosine_topk,
+        similarity_gate, semantic_blend, candidate_agg, candidate_top5, walks_2_3, walks_2_4, chain_summary, semantic_dedup, chain_cap, judge_prompt, chain_evidence, ranked_chains, run_statistics,
         trace_result, beta_likelihoods, chain_posterior, statistics_row, nodes_by_type, edges_by_type, metadata_rows,
     )
 } | _resolvers
@@ -494,11 +514,14 @@ def _resolve_sql(language: str, sep: str) -> str:
 
 _IGNORED = "[" + ", ".join(f"'{x}'" for x in text.IGNORED_DIRS) + "]"
 _LANG = "CASE " + " ".join(f"WHEN regexp_extract(lower(path), '(\\.[^./]+)$', 1) IN ({', '.join(repr(s) for s in ss)}) THEN '{k}'" for k, ss in text.LANGUAGES.items()) + " END"
+_LABELS = "'Overall Score: 0.00', 'Semantic Relevance: 0.00', 'Logical Completeness: 0.00', 'Dataflow Continuity: 0.00', 'Call Rationality: 0.00', 'Judgment Reason: ...'"
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 SQL = {
     "tree_filter_counts": f"SELECT {_LANG} AS language, list_has_any(list_slice(string_split(path, '/'), 2, len(string_split(path, '/')) - 1), {_IGNORED}) AS ignored, count(DISTINCT path) AS files FROM source_file GROUP BY ALL",
     "clean_func_ids": f"SELECT DISTINCT trim(id, {SP}) AS id, {_clean(f'trim(id, {SP})')} AS clean FROM graph_node WHERE type IN ('Function', 'Method') AND trim(id, {SP}) <> ''",
     "summary_keywords": f"WITH {FN} SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(summary), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w)))), ' ') AS keywords FROM fn WHERE summary IS NOT NULL",
+    "keyword_union": f"""WITH {FN}, w AS (SELECT id, regexp_extract_all(lower(coalesce(summary, '') || ' ' || coalesce(signature, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS ws FROM fn)
+ SELECT id, array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w)))), ' ') AS keywords FROM w""",
     "concise_info": f"WITH {FN}, {CO} SELECT id, part AS concise, regexp_matches(lower(part), '{_UTIL}') AS utility FROM co",
     "paragraph_split": f"WITH {PR} SELECT doc_id, len(ps) AS paragraphs, array_to_string(ps, '|') AS joined FROM pr",
     "greedy_pack": f"WITH RECURSIVE {CH} SELECT doc_id, chunk_index, text FROM ch",
@@ -520,6 +543,7 @@ SQL = {
     "flow_records": f"WITH {ER}, {FL} SELECT type, count(*) AS records FROM fl GROUP BY ALL",
     "graph_load_route": f"WITH {ER} SELECT CASE WHEN type = 'CALLS' THEN 'calls' WHEN type IN ('DATAFLOW', 'PARAMETER', 'RETURN') THEN 'flow' ELSE 'other' END AS route, count(*) AS edges, count(DISTINCT (src, dst)) AS pairs FROM er GROUP BY ALL",
     "adjacency": f"WITH {CL} SELECT src, string_agg(dst, ' ' ORDER BY ord, dst) AS callees, count(*) AS n FROM cl GROUP BY ALL",
+    "reverse_adjacency": f"WITH {CL} SELECT dst AS src, count(*) AS callers, arg_min(src, {{'a': ord, 'b': src}}) AS first_caller, arg_max(src, {{'a': ord, 'b': src}}) AS last_caller FROM cl GROUP BY dst",
     "degree_centrality": f"WITH {CL}, {DG} SELECT fn, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree AS BIGINT) AS in_degree, round(centrality, 6) AS centrality FROM dg",
     "dataflow_flags": f"WITH {ER}, {FL} SELECT src, bool_or(type = 'PARAMETER') AS has_params, bool_or(type = 'RETURN') AS has_returns, count(*) AS flows FROM fl GROUP BY ALL",
     "cosine_topk": f"{_RETRIEVE} SELECT doc_id, chunk_index, fn, place, round(sim, 6) AS vector_similarity FROM tk",
@@ -533,6 +557,11 @@ SQL = {
     "chain_summary": f"{_TOLD} SELECT doc_id, rank, {_J}, semantic_summary, array_to_string(key_nodes, ' ') AS key_nodes FROM td",
     "semantic_dedup": f"{_TOLD}, {DD} SELECT doc_id, rank, {_J} FROM dd",
     "chain_cap": f"{_TOLD}, {DD}, {CP} SELECT doc_id, rank, {_J}, mode FROM cp",
+    "judge_prompt": f"""{_TOLD}, {DD}, {CP}, kn AS (SELECT doc_id, rank, ord, unnest(list_slice(key_nodes, 1, 5)) AS node, unnest(range(0, len(list_slice(key_nodes, 1, 5)))) AS i FROM cp),
+ dt AS (SELECT doc_id, rank, ord, list(node || ': ' || summary ORDER BY i) AS ds FROM kn JOIN sm ON sm.clean = {_clean('kn.node')} GROUP BY ALL)
+ SELECT cp.doc_id, cp.rank, array_to_string(cp.ord, '->') AS ord, concat_ws(chr(10) || chr(10), 'Does this chain of calls carry out the requirement?' || chr(10) || 'Requirement: ' || left(ch.text, 500), 'Chain: ' || semantic_summary,
+ 'Its main functions:' || chr(10) || array_to_string(list_transform(list_slice(ds, 1, 4), lambda x: '* ' || left(x, 100)), chr(10)), 'Answer with numbers from 0 to 1, one a line:' || chr(10) || array_to_string([{_LABELS}], chr(10))) AS prompt
+ FROM cp JOIN ch ON ch.doc_id = cp.doc_id AND ch.chunk_index = cp.best_chunk_index LEFT JOIN dt ON dt.doc_id = cp.doc_id AND dt.rank = cp.rank AND dt.ord = cp.ord""",
     "chain_evidence": f"{_EVID} SELECT doc_id, rank, {_J}, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUMBERS) + ", central FROM ev",
     "ranked_chains": f"{_CHOSEN} SELECT doc_id, place, {_J}, round(choice, 6) AS choice, reason, confidence FROM cs WHERE place <= 4",
     "run_statistics": f"""{_TOLD}, {DD}, {CP} SELECT doc_id, count(*) AS total_chains_found, (SELECT count(*) FROM dd WHERE dd.doc_id = td.doc_id) AS unique_chains_analyzed, (SELECT count(*) FROM cp WHERE cp.doc_id = td.doc_id) AS total_llm_judgments FROM td GROUP BY doc_id""",

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_build(build: dict[str, DataFrame], out: str) -> None:
-    """Nodes, edges, metadata and statistics as Parquet tables below ``out``."""
-    for name in ("nodes", "edges", "metadata", "statistics"):
-        build[name].write.mode("overwrite").parquet(f"{out}/{name}")
+    """Nodes, edges, metadata, statistics and, where there are some, vectors as Parquet tables below ``out``."""
+    for name in ("nodes", "edges", "metadata", "statistics", "vectors"):
+        if name in build:
+            build[name].write.mode("overwrite").parquet(f"{out}/{name}")
 
 
 def write_json_array(df: DataFrame, path: str) -> None:

@@ -57,3 +57,26 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     df = _records(spark, path, ("edges",))
     rows = df.select("source_id", "target_id", "type").where("source_id <> '' and target_id <> ''")
     return rows.withColumn("edge_id", F.monotonically_increasing_id())
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_knowledge(spark: SparkSession, folder: str, graph: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metadata, edges) of a folder: the tables of a build, with its vectors if it has some, or documents of JSON.
+
+    Of documents ``knowledge_graph.json`` goes before ``edges.json``, and ``graph`` names another one.
+    """
+    folder = folder.rstrip("/")
+    if there(spark, f"{folder}/metadata"):
+        rows = spark.read.parquet(f"{folder}/metadata").drop("embedding")
+        if there(spark, f"{folder}/vectors"):
+            rows = rows.join(spark.read.parquet(f"{folder}/vectors").select("id", F.col("embedding").alias("vector")), "id", "left")
+        else:
+            rows = rows.withColumn("vector", F.lit(None).cast("array<float>"))
+        edges = spark.read.parquet(f"{folder}/edges").select("source_id", "target_id", "type").where("source_id <> '' and target_id <> ''")
+        return rows.withColumn("clean", text.clean_func_id(F.col("id"))), edges.sort("source_id", "target_id", "type").withColumn("edge_id", F.monotonically_increasing_id())
+    named = [graph] if graph else [f"{folder}/knowledge_graph.json", f"{folder}/edges.json"]
+    return read_metadata(spark, f"{folder}/metadata.json"), read_graph(spark, next((x for x in named if there(spark, x)), named[-1]))

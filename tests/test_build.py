@@ -81,7 +81,34 @@ def test_knowledge_base_shapes_and_command_line(spark, tmp_path):
     (req / "r1.txt").write_text("Read the page.\n\nThen stop.")
     assert cli.main(["reason", str(kb), str(req), str(tmp_path / "res"), "--width", "2"]) == 0
     row = spark.read.parquet(str(tmp_path / "res")).first()
-    assert (row["doc_id"], row["total_chunks"], row["selection_reason"]) == ("r1", 1, "No candidate functions")  # offline vectors are zero
+    assert (row["doc_id"], row["total_chunks"]) == ("r1", 1)
+
+
+def test_reason_reads_what_build_writes(spark, tmp_path):
+    src, req, kb = tmp_path / "s", tmp_path / "req", tmp_path / "kb"
+    src.mkdir()
+    req.mkdir()
+    (src / "m.mjs").write_text("export function openLedger(page) { readPage(page); }\nexport function readPage(page) { turnCrank(page); }\nfunction turnCrank(page) { }\n")
+    (req / "r1.txt").write_text("Function openLedger of page, language javascript, name openLedger, first line: export function openLedger(page).")
+    assert cli.main(["build", str(src), str(kb), "--dataflow", "--width", "64", "--json"]) == 0
+    assert spark.read.parquet(str(kb / "vectors")).count() == 3 and len(json.loads((kb / "metadata.json").read_text())) == 3
+    for place in (str(kb), None):
+        if place is None:  # the documents alone, whose index is built again
+            place = str(tmp_path / "docs")
+            (tmp_path / "docs").mkdir()
+            for name in ("metadata.json", "edges.json"):
+                (tmp_path / "docs" / name).write_text((kb / name).read_text())
+        assert cli.main(["reason", place, str(req), str(tmp_path / "res"), "--width", "64"]) == 0
+        row = spark.read.parquet(str(tmp_path / "res")).first()
+        assert row["total_candidates"] >= 1 and "openLedger->m.readPage" in row["chain"].replace("Function:", "").replace("m.openLedger", "openLedger"), row
+
+
+def test_prompts_unions_and_vectors_without_text(spark):
+    rows = spark.createDataFrame([("a", " ", None, "x"), ("b", None, None, "  "), ("c", "Reads it.", "f()", "f")], "id string, summary string, signature string, name string")
+    got = B.vectors_of(rows, lambda df, c: providers.embed(df, c, 8)).collect()
+    assert {r["id"] for r in got} == {"c"} or {r["id"] for r in got} == {"a", "c"}  # "x" is too short to be a word
+    asked = spark.createDataFrame([("Do it.", "a → b", ["n1: " + "y" * 200] + ["n"] * 5)], "r string, s string, d array<string>").select(providers.prompt(F.col("r"), F.col("s"), F.col("d")).alias("p")).first()["p"]
+    assert asked.count("* n") == 4 and max(map(len, asked.split("\n"))) == 102 and "Judgment Reason" in asked
 
 
 def test_providers_call_models_by_batch_and_survive_failures(spark):
