@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import retrieve
 from ..runtime import clean_id, table
-from . import docpairs, handwritten, mixing, neighbours, packing, reading, scan, syntax
+from . import handwritten, mixing, neighbours, packing, reading, scan, syntax
+from .tokens import with_tokens
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +74,30 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents"), capacities), capacities)
 
 
+def p7_valid(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers of each capacity: none over it, no text split that fits, every token kept once, and no
+    more than a hundredth of the space and one container unused."""
+    capacities = table(spark, d, "pack_capacity")
+    rows = packing.cut(packing.pack(table(spark, d, "documents"), capacities)).join(capacities.select("capacity_name", F.col("tokens").alias("capacity")), "capacity_name")
+    alone = F.col("container") < 0
+    loads = rows.groupBy("capacity_name", "capacity", "container", F.when(alone, F.col("doc_id")).alias("doc"), F.when(alone, F.col("piece")).alias("part")).agg(F.sum("tokens").alias("load"))
+    over = loads.groupBy("capacity_name").agg((F.max(F.col("load") - F.col("capacity")) <= 0).alias("none_over"), (F.sum("load") >= 0.99 * F.sum("capacity") - F.max("capacity")).alias("full"))
+    split = rows.groupBy("capacity_name", "capacity", "doc_id").agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("parts"), F.countDistinct("piece").alias("pieces"))
+    whole = split.groupBy("capacity_name").agg(F.bool_and(F.col("parts") == F.ceil(F.col("size") / F.col("capacity"))).alias("none_split"), F.bool_and(F.col("parts") == F.col("pieces")).alias("once"), F.sum("size").alias("kept"))
+    total = with_tokens(table(spark, d, "documents").select("text")).agg(F.sum("tokens")).scalar()
+    joined = over.join(whole, "capacity_name")
+    return joined.select("capacity_name", "none_over", "none_split", "once", (F.col("kept") == total).alias("all_kept"), "full")
+
+
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each target source: its share within a hundredth of its target, no text used more often than allowed."""
+    targets = table(spark, d, "mix_target")
+    got = mixing.mix_report(table(spark, d, "documents"), targets)
+    held = targets.select(mixing.canonical("source").alias("source"), "max_repeats")
+    rows = got.join(held, "source")
+    return rows.select("source", (F.abs(F.col("reached_share") - F.col("target_weight")) <= 0.01).alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
@@ -92,7 +117,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("component", "band").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.round(F.avg("words_per_sentence"), 4).alias("mean_sentence"), F.count_if("checked").alias("checked"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_all, p3_recall, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_all, p3_recall, p5_found, p5_pairs, p6_found, p6_kinds, p7_pack, p7_fill, p7_valid, p8_mix, p8_shares, p8_valid, p9_found, p9_profile)}
 _SPACE = "' ' || chr(9) || chr(10) || chr(13)"
 SQL: dict[str, str] = {
     # exact search: the forest may miss what this finds, at these sizes it looks into nearly every leaf
@@ -102,6 +127,8 @@ p AS (SELECT DISTINCT probe_no, trim(node_id, {_SPACE}) AS id FROM knn_probe),
 s AS (SELECT p.probe_no, n.id, row_number() OVER (PARTITION BY probe_no ORDER BY list_cosine_similarity(q.x, n.x) DESC, n.id) AS k
   FROM p JOIN v q ON q.id = p.id JOIN v n ON n.id <> p.id)
 SELECT probe_no, id AS neighbor_id FROM s WHERE k <= 10""",
+    "p7_valid": "SELECT capacity_name, true AS none_over, true AS none_split, true AS once, true AS all_kept, true AS full FROM pack_capacity",
+    "p8_valid": f"SELECT DISTINCT regexp_replace(lower(trim(source, {_SPACE})), '[\\s-]+', '_', 'g') AS source, true AS share_met, true AS cap_kept FROM mix_target WHERE target_weight > 0 AND max_repeats > 0",
     "p3_recall": f"""WITH v AS (SELECT DISTINCT trim(id, {_SPACE}) AS id FROM graph_node WHERE type IN ('Function', 'Method') AND trim(id, {_SPACE}) <> '' AND len(embedding) = 64
   AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0), n AS (SELECT count(*) AS k FROM v)
 SELECT count(*) AS queries, CAST(sum(least(10, k - 1)) AS BIGINT) AS wanted, true AS nine_in_ten FROM v, n WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 50 = 0""",

@@ -31,7 +31,7 @@ def scan(files: DataFrame, with_code: bool = False) -> DataFrame:
             for path, repo, content in part[["path", "repo", "content"]].itertuples(index=False, name=None):
                 language = L.language_of(path)
                 unit = L.Unit(language or "javascript", L.decode(content))
-                bad = syntax.faults(language, unit.text, unit) if language else []
+                bad = syntax.faults(language, unit.text, unit) if syntax.judged_as(path) else []
                 pairs = docpairs.found(unit, with_code) if language and not bad else []
                 rows.append((*handwritten.describe(path, repo, unit), bad[0] if bad else None, [dict(zip(docpairs.PAIRS, p)) for p in pairs]))
             yield pd.DataFrame(rows, columns=columns)

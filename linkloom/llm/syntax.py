@@ -566,20 +566,30 @@ def _javascript(toks, text: str) -> list[str]:
     return []
 
 
+#: Suffixes that count as JavaScript elsewhere but hold other grammars: types and markup would be judged by the wrong rules.
+OTHER_GRAMMARS = (".ts", ".tsx", ".jsx")
+
+
+def judged_as(path: str | None) -> str | None:
+    """The language by whose rules a file is judged; null for unknown suffixes and those of other grammars."""
+    return None if (path or "").lower().endswith(OTHER_GRAMMARS) else L.language_of(path)
+
+
 CHECKED = "path string, repo string, language string, fault string"
 
 
 def checked(files: DataFrame) -> DataFrame:
     """(path, repo, language, fault) of each row: the first fault found, null for a valid file.
 
-    Rows whose path is null or has no suffix of the three languages are left out; null and empty contents are valid.
+    Rows whose path is null or has no suffix of the three languages, or one of ``OTHER_GRAMMARS``, are left out; null and
+    empty contents are valid.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, repo, content in part[["path", "repo", "content"]].itertuples(index=False, name=None):
-                language = L.language_of(path)
+                language = judged_as(path)
                 if language is not None:
                     found = faults(language, L.decode(content))
                     rows.append((path, repo, language, found[0] if found else None))
