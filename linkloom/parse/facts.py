@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..runtime import spread
 from . import lexer as L
 from .source import blanked, comment_above, comment_lines, frames, functions
 
@@ -246,4 +247,4 @@ def facts(files: DataFrame, dataflow: bool = True) -> DataFrame:
             rows = [r for p, c in part[["path", "content"]].itertuples(index=False, name=None) if p is not None for r in extract(p, c, dataflow)]
             yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in COLUMNS})
 
-    return files.select("path", "content").mapInPandas(run, FACTS)
+    return spread(files.select("path", "content")).mapInPandas(run, FACTS)

@@ -72,6 +72,16 @@ def fresh(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it comes in less than half as many pieces, as one small file does, before slow Python.
+
+    A table of more pieces stays as it is: its contents are not exchanged.
+    """
+    if df.isStreaming or 2 * df.rdd.getNumPartitions() > df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     """Like ``cut`` through a Parquet table in the shared folder, of which later steps read only the columns that they need,
     and with ``by`` only the values of that column that they ask for.
