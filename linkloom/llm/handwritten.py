@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..parse import lexer as L
-from ..runtime import keep
+from ..runtime import keep, spread
 
 #: Parameters with their meanings.
 DATA_SHARE = 0.45  # of the characters of code, in literals
@@ -145,7 +145,7 @@ def _describe_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def features(files: DataFrame) -> DataFrame:
     """A feature row for each row of files; null paths stay, null contents count as empty."""
-    return files.select("path", "repo", "content").mapInPandas(_describe_all, FEATURES)
+    return spread(files.select("path", "repo", "content")).mapInPandas(_describe_all, FEATURES)
 
 
 def _partial_model(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

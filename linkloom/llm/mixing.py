@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.prefix import prefix_sums
-from ..runtime import cut
+from ..runtime import cut, spread
 from .tokens import with_tokens
 
 #: Greatest tilt of a schedule: a source's weight at the start and the end differs from its target by this share at most.
@@ -63,7 +63,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None)
 
 def _uses(documents: DataFrame, targets: DataFrame, tokenizer: str | None) -> DataFrame:
     wanted = targets.where("target_weight > 0 AND max_repeats > 0").select(canonical("source").alias("source")).distinct()
-    rows = documents.select("doc_id", canonical("source").alias("source"), F.md5("text").alias("same"), "text").join(F.broadcast(wanted), "source", "left_semi")
+    rows = spread(documents.select("doc_id", "source", "text")).select("doc_id", canonical("source").alias("source"), F.md5("text").alias("same"), "text").join(F.broadcast(wanted), "source", "left_semi")
     sized = with_tokens(rows, path=tokenizer).where("tokens > 0")
     texts = cut(sized.groupBy("same").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("x")).select("x.*"))
     planned = plan(texts.groupBy("source").agg(F.sum("tokens").alias("supply")), targets)

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from .tokens import with_tokens
 
 #: Containers that a window fills, about, and items that it has at most, about. Larger windows waste less and take longer.
@@ -186,7 +186,7 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str | None = No
     Each window is a hash class of items that fills about ``CONTAINERS`` containers, so no task holds more than a window.
     The table of capacities, some rows of settings, becomes a literal.
     """
-    sized = cut(with_tokens(documents.select("doc_id", "text"), path=tokenizer))
+    sized = cut(with_tokens(spread(documents.select("doc_id", "text")), path=tokenizer))
     every = pieces(sized, capacities)
     small = every.where("tokens < capacity")
     counted = small.groupBy("capacity_name", "capacity").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from . import tokens
 
 #: Parameters with their meanings.
@@ -175,7 +175,7 @@ def measured(texts: DataFrame, key: str, vocabulary: str | None = None) -> DataF
             rows = [(i, *measure(t, rank)) for i, t in part[["id", "text"]].itertuples(index=False, name=None)]
             yield pd.DataFrame(rows, columns=columns).astype({"id": "Int64", "rank": "Int64"})
 
-    return texts.select(F.col(key).alias("id"), "text").mapInPandas(run, MEASURED)
+    return spread(texts.select(F.col(key).alias("id"), "text")).mapInPandas(run, MEASURED)
 
 
 #: Traits of the scale, and of the one that checks what lies close to a cut.

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..parse import lexer as L
-from ..runtime import keep
+from ..runtime import keep, spread
 from . import docpairs, handwritten, syntax
 
 SCANNED = handwritten.FEATURES + f", fault string, pairs array<{docpairs.FOUND}>"
@@ -36,7 +36,7 @@ def scan(files: DataFrame, with_code: bool = False) -> DataFrame:
                 rows.append((*handwritten.describe(path, repo, unit), bad[0] if bad else None, [dict(zip(docpairs.PAIRS, p)) for p in pairs]))
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", "repo", "content").mapInPandas(run, SCANNED)
+    return spread(files.select("path", "repo", "content")).mapInPandas(run, SCANNED)
 
 
 def documented(files: DataFrame, packages: DataFrame, with_code: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..parse import lexer as L
+from ..runtime import spread
 
 _PAIR = {")": "(", "]": "[", "}": "{"}
 _MARKS = ("<<<<<<<", "=======", ">>>>>>>", "|||||||")
@@ -595,7 +596,7 @@ def checked(files: DataFrame) -> DataFrame:
                     rows.append((path, repo, language, found[0] if found else None))
             yield pd.DataFrame(rows, columns=["path", "repo", "language", "fault"])
 
-    return files.select("path", "repo", "content").mapInPandas(run, CHECKED)
+    return spread(files.select("path", "repo", "content")).mapInPandas(run, CHECKED)
 
 
 def unparsable(files: DataFrame) -> DataFrame:
