@@ -32,7 +32,7 @@ LOOK = 128  # leaves that a query looks into
 BLOCK = 16_384  # queries that are sent to all tasks at most; more are joined by leaf
 GROUP = 32_768  # vectors of neighbouring leaves that a task should hold
 BATCH = 2_048  # queries that a task weighs at once
-PAIRS = 4_000_000  # pairs of a query and a vector that a task weighs at once, at most
+PAIRS = 500_000  # pairs of a query and a vector that a task weighs at once, about
 NEAREST = 10
 
 
@@ -174,7 +174,7 @@ def _search_block(vectors: DataFrame, forest, names: list[str], points: np.ndarr
     into = {(int(flat[e - 1]) >> 32, int(flat[e - 1]) & 0xFFFFFFFF): order[b:e] // leaves.shape[1] for b, e in zip([0, *ends[:-1]], ends)}
     asked = vectors.sparkSession.sparkContext.broadcast((names, points, into))
     schema = "query long, neighbour string, cosine double"
-    step = max(256, PAIRS // max(1, len(names)))
+    step = 4096
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, points, into = asked.value
@@ -185,23 +185,35 @@ def _search_block(vectors: DataFrame, forest, names: list[str], points: np.ndarr
                 ids = np.array(part.column(0).to_pylist(), dtype=object)
                 x = _unit(np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(ids), -1))
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                held = 0
+
+                def settle() -> None:
+                    nonlocal held
+                    if found:
+                        query, row, sim = (np.concatenate(f) for f in zip(*found))
+                        other = own[query] != ids[row]
+                        best.add(query[other], sim[other], ids[row[other]])
+                    found.clear()
+                    held = 0
+
                 for t in range(len(forest.value.planes)):
                     code = forest.value.leaves(x, t)
                     order = np.argsort(code, kind="stable")
                     ends = np.flatnonzero(np.diff(code[order], append=-1)) + 1
-                    begin = 0
-                    for end in ends:
+                    for begin, end in zip([0, *ends[:-1]], ends):
                         who = into.get((t, int(code[order[begin]])))
-                        if who is not None:
-                            rows = order[begin:end]
+                        if who is None:
+                            continue
+                        few = max(1, PAIRS // len(who))
+                        for at_ in range(begin, end, few):
+                            rows = order[at_ : min(at_ + few, end)]
                             sims = points[who] @ x[rows].T
                             q, r = np.nonzero(sims >= best.least[who, None])
                             found.append((who[q], rows[r], sims[q, r]))
-                        begin = end
-                if found:
-                    query, row, sim = (np.concatenate(f) for f in zip(*found))
-                    other = own[query] != ids[row]
-                    best.add(query[other], sim[other], ids[row[other]])
+                            held += len(q)
+                            if held > PAIRS:  # what is known by now raises the bar for the rest
+                                settle()
+                settle()
         if len(best.query):
             yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.ids.tolist(), pa.string()), pa.array(best.sim)], names=["query", "neighbour", "cosine"])
 
