@@ -81,13 +81,17 @@ def resolve(call_facts: DataFrame, symbol: DataFrame, language: str) -> DataFram
 def contains_match(call_facts: DataFrame, symbol: DataFrame, gram: int = 4) -> DataFrame:
     """(callee, node_id): the first key that contains the callee, of whatever length; empty callees name nothing and match none.
 
-    Keys and callees share the callee's first piece of ``gram`` characters, which makes the test an equi-join. A shorter
-    callee equals one of the pieces of its own length, of which only the first key that holds it can win.
+    Keys and callees share every piece of ``gram`` characters of the callee; they are joined on the one that the fewest keys
+    have, so that a common beginning does not bring all its keys together. A shorter callee equals one of the pieces of its
+    own length, of which only the first key that holds it can win.
     """
     callees = call_facts.select("callee").distinct()
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.col("key").substr(i, F.lit(n)))
-    asked = callees.where(F.length("callee") >= gram).withColumn("piece", F.substring("callee", 1, gram))
+    cut_up = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n)))
+    pieces = lambda n: cut_up("key", n)
     offered = symbol.select("key", "node_id", "key_ord", F.explode(F.array_distinct(pieces(gram))).alias("piece"))
+    common = offered.groupBy("piece").agg(F.count(F.lit(1)).alias("keys"))
+    whole = callees.where(F.length("callee") >= gram).select("callee", F.explode(F.array_distinct(cut_up("callee", gram))).alias("piece"))
+    asked = whole.join(common, "piece").groupBy("callee").agg(F.min_by("piece", F.struct("keys", "piece")).alias("piece"))
     found = asked.join(offered, "piece").where(F.contains("key", "callee")).groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
     if gram < 2:
         return found
