@@ -76,12 +76,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_valid(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of the containers of each capacity: none over it, no text split that fits, every token kept once, and no
-    more than a hundredth of the space and one container unused."""
+    more containers than a hundredth and one beyond what the tokens fill."""
     capacities = table(spark, d, "pack_capacity")
     rows = packing.cut(packing.pack(table(spark, d, "documents"), capacities)).join(capacities.select("capacity_name", F.col("tokens").alias("capacity")), "capacity_name")
     alone = F.col("container") < 0
     loads = rows.groupBy("capacity_name", "capacity", "container", F.when(alone, F.col("doc_id")).alias("doc"), F.when(alone, F.col("piece")).alias("part")).agg(F.sum("tokens").alias("load"))
-    over = loads.groupBy("capacity_name").agg((F.max(F.col("load") - F.col("capacity")) <= 0).alias("none_over"), (F.sum("load") >= 0.99 * F.sum("capacity") - F.max("capacity")).alias("full"))
+    over = loads.groupBy("capacity_name").agg((F.max(F.col("load") - F.col("capacity")) <= 0).alias("none_over"), (F.count(F.lit(1)) <= F.ceil(1.01 * F.sum("load") / F.max("capacity")) + 1).alias("full"))
     split = rows.groupBy("capacity_name", "capacity", "doc_id").agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("parts"), F.countDistinct("piece").alias("pieces"))
     whole = split.groupBy("capacity_name").agg(F.bool_and(F.col("parts") == F.ceil(F.col("size") / F.col("capacity"))).alias("none_split"), F.bool_and(F.col("parts") == F.col("pieces")).alias("once"), F.sum("size").alias("kept"))
     total = with_tokens(table(spark, d, "documents").select("text")).agg(F.sum("tokens")).scalar()
