@@ -90,12 +90,16 @@ def p7_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_valid(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of each target source: its share within a hundredth of its target, no text used more often than allowed."""
+    """What must hold of each target source: its tokens meet the demand of its weight to within one text, the demands have the
+    ratios of the weights, no text is used more often than allowed. A source without any text has nothing to meet."""
     targets = table(spark, d, "mix_target")
-    got = mixing.mix_report(table(spark, d, "documents"), targets)
-    held = targets.select(mixing.canonical("source").alias("source"), "max_repeats")
-    rows = got.join(held, "source")
-    return rows.select("source", (F.abs(F.col("reached_share") - F.col("target_weight")) <= 0.01).alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("cap_kept"))
+    uses = mixing.uses(table(spark, d, "documents"), targets)
+    each = uses.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.count(F.lit(1)).alias("uses"), F.max("demand").alias("demand"), F.max("weight").alias("weight"))
+    sums = each.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("longest").alias("longest"), F.max("uses").alias("uses"), F.max("demand").alias("demand"), F.max("weight").alias("weight"))
+    total = sums.agg(F.sum("demand")).scalar()
+    rows = targets.where("target_weight > 0 AND max_repeats > 0").select(mixing.canonical("source").alias("source"), "max_repeats").join(sums, "source", "left")
+    yes = lambda c: F.coalesce(c, F.lit(True))
+    return rows.select("source", yes(F.abs(F.col("tokens") - F.col("demand")) <= F.col("longest")).alias("demand_met"), yes(F.abs(F.col("demand") / total - F.col("weight")) < 1e-9).alias("in_ratio"), yes(F.col("uses") <= F.col("max_repeats")).alias("cap_kept"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +132,7 @@ s AS (SELECT p.probe_no, n.id, row_number() OVER (PARTITION BY probe_no ORDER BY
   FROM p JOIN v q ON q.id = p.id JOIN v n ON n.id <> p.id)
 SELECT probe_no, id AS neighbor_id FROM s WHERE k <= 10""",
     "p7_valid": "SELECT capacity_name, true AS none_over, true AS none_split, true AS once, true AS all_kept, true AS full FROM pack_capacity",
-    "p8_valid": f"SELECT DISTINCT regexp_replace(lower(trim(source, {_SPACE})), '[\\s-]+', '_', 'g') AS source, true AS share_met, true AS cap_kept FROM mix_target WHERE target_weight > 0 AND max_repeats > 0",
+    "p8_valid": f"SELECT DISTINCT regexp_replace(lower(trim(source, {_SPACE})), '[\\s-]+', '_', 'g') AS source, true AS demand_met, true AS in_ratio, true AS cap_kept FROM mix_target WHERE target_weight > 0 AND max_repeats > 0",
     "p3_recall": f"""WITH v AS (SELECT DISTINCT trim(id, {_SPACE}) AS id FROM graph_node WHERE type IN ('Function', 'Method') AND trim(id, {_SPACE}) <> '' AND len(embedding) = 64
   AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0), n AS (SELECT count(*) AS k FROM v)
 SELECT count(*) AS queries, CAST(sum(least(10, k - 1)) AS BIGINT) AS wanted, true AS nine_in_ten FROM v, n WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 50 = 0""",

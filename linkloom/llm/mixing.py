@@ -57,11 +57,12 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None)
     that no text is used more often than its source allows; a text that several sources hold belongs to the source of that row. Null and empty texts
     and sources without a target take no part. ``use`` counts the uses of a text from 1.
     """
-    parts = _uses(documents, targets, tokenizer)
+    parts = uses(documents, targets, tokenizer)
     return parts.orderBy("position", "doc_id", "use").select(*MIXED)
 
 
-def _uses(documents: DataFrame, targets: DataFrame, tokenizer: str | None) -> DataFrame:
+def uses(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Every use of a text with its position and what its source was planned, not sorted; see ``mix``."""
     wanted = targets.where("target_weight > 0 AND max_repeats > 0").select(canonical("source").alias("source")).distinct()
     rows = spread(documents.select("doc_id", "source", "text")).select("doc_id", canonical("source").alias("source"), F.md5("text").alias("same"), "text").join(F.broadcast(wanted), "source", "left_semi")
     sized = with_tokens(rows, path=tokenizer).where("tokens > 0")
@@ -88,9 +89,9 @@ def mix_report(documents: DataFrame, targets: DataFrame, tokenizer: str | None =
     ``early_share`` is the source's share of the tokens in the first half of the training time. A target source without any
     text is listed with zeros.
     """
-    uses = _uses(documents, targets, tokenizer)
+    used = uses(documents, targets, tokenizer)
     early = F.col("position") < 0.5
-    sums = uses.groupBy("source").agg(
+    sums = used.groupBy("source").agg(
         F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("texts"), F.count(F.lit(1)).alias("uses"),
         F.max("use").alias("most_uses"), F.sum(F.when(early, F.col("tokens")).otherwise(0)).alias("early"),
     )

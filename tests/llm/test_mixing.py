@@ -30,7 +30,7 @@ def test_shares_caps_and_positions(spark):
 
 
 def test_schedule_follows_its_integral(spark):
-    uses = M._uses(docs(spark, corpus()), targets(spark), None).toPandas()
+    uses = M.uses(docs(spark, corpus()), targets(spark), None).toPandas()
     for _, own in uses.groupby("source"):
         a, demand = own.tilt.iloc[0], own.demand.iloc[0]
         for t in (0.25, 0.5, 0.75):
