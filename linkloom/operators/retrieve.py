@@ -12,6 +12,7 @@ from ..functions import scoring
 
 HITS, CANDIDATES = 5, 5
 BLOCK = 4096  # query vectors held at once
+PRODUCTS = 2_000_000  # products of a query and a function that a task holds at once
 
 
 def top_products(queries: DataFrame, functions: DataFrame, k: int = HITS, block: int = BLOCK) -> DataFrame:
@@ -33,18 +34,18 @@ def top_products(queries: DataFrame, functions: DataFrame, k: int = HITS, block:
             points = spark.sparkContext.broadcast(np.array([r["vector"] for r in got], dtype=np.float64))
 
             def run(batches: Iterator[pa.RecordBatch], points=points) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
+                q = points.value
+                step, top = max(k, PRODUCTS // len(q)), np.full((len(q), k), -np.inf)
+                for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
                     x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
                     ids = batch.column(0).to_numpy(zero_copy_only=False)
                     order = np.argsort(ids.astype(str), kind="stable")
-                    q = points.value
                     product = q @ x[order].T
                     best = np.argsort(-product, axis=1, kind="stable")[:, :k]
-                    who = np.repeat(np.arange(len(q)), best.shape[1])
-                    at = best.reshape(-1)
-                    value = product[who, at]
+                    value = np.take_along_axis(product, best, 1)
+                    who, place = np.nonzero(value >= top[:, :1])  # what is below the k greatest so far can't be among them
+                    top = np.sort(np.concatenate([top, value], axis=1), axis=1)[:, -k:]
+                    at, value = best[who, place], value[who, place]
                     norm = np.linalg.norm(q, axis=1)[who] * np.linalg.norm(x, axis=1)[order][at]
                     cosine = np.divide(value, norm, out=np.zeros_like(value), where=norm > 0)
                     yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int64)), pa.array(ids[order][at].tolist(), pa.string()), pa.array(value), pa.array(cosine)], names=["q", "fn", "product", "vector_similarity"])
