@@ -84,6 +84,9 @@ def contains_match(call_facts: DataFrame, symbol: DataFrame, gram: int = 4) -> D
     Keys and callees share every piece of ``gram`` characters of the callee; they are joined on the one that the fewest keys
     have, so that a common beginning does not bring all its keys together. A shorter callee equals one of the pieces of its
     own length, of which only the first key that holds it can win.
+
+    All joins are sort-merge joins: the planner doesn't count how many pieces a text is cut into, and would send tables of
+    pieces to all tasks through the driver.
     """
     callees = call_facts.select("callee").distinct()
     cut_up = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n)))
@@ -91,13 +94,13 @@ def contains_match(call_facts: DataFrame, symbol: DataFrame, gram: int = 4) -> D
     offered = symbol.select("key", "node_id", "key_ord", F.explode(F.array_distinct(pieces(gram))).alias("piece"))
     common = offered.groupBy("piece").agg(F.count(F.lit(1)).alias("keys"))
     whole = callees.where(F.length("callee") >= gram).select("callee", F.explode(F.array_distinct(cut_up("callee", gram))).alias("piece"))
-    asked = whole.join(common, "piece").groupBy("callee").agg(F.min_by("piece", F.struct("keys", "piece")).alias("piece"))
-    found = asked.join(offered, "piece").where(F.contains("key", "callee")).groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
+    asked = whole.join(common.hint("merge"), "piece").groupBy("callee").agg(F.min_by("piece", F.struct("keys", "piece")).alias("piece"))
+    found = asked.join(offered.hint("merge"), "piece").where(F.contains("key", "callee")).groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
     if gram < 2:
         return found
     short = symbol.select("node_id", "key_ord", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, gram)]))).alias("callee"))
     first = short.where("callee <> ''").groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
-    return found.unionByName(callees.where(F.length("callee") < gram).join(first, "callee"))
+    return found.unionByName(callees.where(F.length("callee") < gram).join(first.hint("merge"), "callee"))
 
 
 def call_edges(resolved: DataFrame, symbol: DataFrame) -> DataFrame:
