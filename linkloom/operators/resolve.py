@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 LEAST_FUZZY = 4
+#: Most hash values of pieces that are sent to all tasks.
+MARKS = 1 << 18
 SEPARATORS = {"java": ".", "javascript": ".", "cpp": "::"}
 
 
@@ -85,8 +87,9 @@ def contains_match(call_facts: DataFrame, symbol: DataFrame, gram: int = 4) -> D
     have, so that a common beginning does not bring all its keys together. A shorter callee equals one of the pieces of its
     own length, of which only the first key that holds it can win.
 
-    All joins are sort-merge joins: the planner doesn't count how many pieces a text is cut into, and would send tables of
-    pieces to all tasks through the driver.
+    Joins of pieces are sort-merge joins: the planner doesn't count how many pieces a text is cut into, and would send them
+    to all tasks through the driver. Sent are only the hash values, MARKS at most, of the pieces joined on, so that few of the
+    other pieces are exchanged.
     """
     callees = call_facts.select("callee").distinct()
     cut_up = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n)))
@@ -95,6 +98,9 @@ def contains_match(call_facts: DataFrame, symbol: DataFrame, gram: int = 4) -> D
     common = offered.groupBy("piece").agg(F.count(F.lit(1)).alias("keys"))
     whole = callees.where(F.length("callee") >= gram).select("callee", F.explode(F.array_distinct(cut_up("callee", gram))).alias("piece"))
     asked = whole.join(common.hint("merge"), "piece").groupBy("callee").agg(F.min_by("piece", F.struct("keys", "piece")).alias("piece"))
+    mark = F.pmod(F.hash("piece"), F.lit(MARKS))
+    marks = asked.select(mark.alias("mark")).distinct()
+    offered = offered.withColumn("mark", mark).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
     found = asked.join(offered.hint("merge"), "piece").where(F.contains("key", "callee")).groupBy("callee").agg(F.min_by("node_id", "key_ord").alias("node_id"))
     if gram < 2:
         return found
